@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontamination
+from . import decontamination, language, quality, toxicity
 
 QUERIES = {
+    "op1_quality_rules": quality.op1_quality_rules,
+    "op2_language": language.op2_language,
+    "op4_toxicity": toxicity.op4_toxicity,
     "op6_decontamination": decontamination.op6_decontamination,
 }
 ORACLES = {

@@ -53,3 +53,34 @@ def fold_of(doc_id: str | Column, folds: int) -> Column:
 def bounded_ids(ids: DataFrame, limit: int) -> DataFrame:
     """At most ``limit`` rows of ``ids``, chosen by the hash of doc_id: repeatable, and small enough to broadcast by construction."""
     return F.broadcast(ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit))
+
+
+#: Name of the text among a map's input columns; user columns are found by place, so theirs may be the same.
+_TEXT = "__text__"
+
+
+def map_texts(df: DataFrame, keep: list[str], made: str, fn, text_col: str = "text", limit: int | None = None) -> DataFrame:
+    """Arrow-batched map over texts: ``keep`` columns unchanged, then the columns of DDL ``made`` as ``fn(texts, rows)`` gives them.
+
+    ``fn`` gets a block of texts and the record batch of its rows and returns a list or array for each made column.
+    """
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    kept = [F.col(f"`{k}`") for k in keep]
+    source = df.select(*kept, F.col(f"`{text_col}`").alias(_TEXT))
+    out = StructType([*df.select(*kept).schema.fields, *StructType.fromDDL(made).fields])
+    schema = to_arrow_schema(out)
+
+    def run(batches):
+        import pyarrow as pa
+
+        from .textkernels import BLOCK_BYTES, blocks
+
+        for batch in batches:
+            for first, last, texts in blocks(batch, _TEXT, limit=limit or BLOCK_BYTES):
+                rows = batch.slice(first, last - first)
+                columns = [rows.column(i) for i in range(len(keep))] + [pa.array(x) if not isinstance(x, pa.Array) else x for x in fn(texts, rows)]
+                yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+    return source.mapInArrow(run, out)
