@@ -108,11 +108,11 @@ def segments_of(texts: Texts, model: Model) -> tuple[np.ndarray, list[list[tuple
 
 
 def evidence(n_words: int, scores: list[float], model: Model) -> float:
-    """Logarithm of the summed excess of the significant segments over what a harmless text of that length reaches; without any, the largest one's shortfall."""
+    """Summed excess of the significant segments over what a harmless text of that length reaches; without any, the largest one's shortfall."""
     level = model.log_k + math.log(max(n_words, 1))
     over = [model.rate * s - level for s in scores]
     above = [x for x in over if x > 0]
-    return math.log1p(sum(above)) if above else max([*over, -level])
+    return sum(above) if above else max([*over, -level])
 
 
 def probability(x: float, model: Model) -> float:
