@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontamination, language, quality, toxicity
+from . import decontamination, language, packing, quality, toxicity
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
     "op2_language": language.op2_language,
     "op4_toxicity": toxicity.op4_toxicity,
+    "op5_packing": packing.op5_packing,
     "op6_decontamination": decontamination.op6_decontamination,
 }
 ORACLES = {
