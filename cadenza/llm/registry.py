@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, language, packing, quality, toxicity
+from . import decontamination, language, near_duplicates, packing, quality, toxicity
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
@@ -10,7 +10,9 @@ QUERIES = {
     "op4_toxicity": toxicity.op4_toxicity,
     "op5_packing": packing.op5_packing,
     "op6_decontamination": decontamination.op6_decontamination,
+    "op9_near_duplicates": near_duplicates.op9_near_duplicates,
 }
 ORACLES = {
     "op6_decontamination": decontamination.ORACLE,
+    "op9_near_duplicates": near_duplicates.ORACLE,
 }
