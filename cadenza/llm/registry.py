@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, language, near_duplicates, packing, quality, toxicity
+from . import decontamination, language, near_duplicates, packing, quality, repeats, toxicity
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
@@ -11,6 +11,7 @@ QUERIES = {
     "op5_packing": packing.op5_packing,
     "op6_decontamination": decontamination.op6_decontamination,
     "op9_near_duplicates": near_duplicates.op9_near_duplicates,
+    "op10_repeats": repeats.op10_repeats,
 }
 ORACLES = {
     "op6_decontamination": decontamination.ORACLE,

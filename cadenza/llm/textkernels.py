@@ -13,8 +13,9 @@ import pyarrow as pa
 U = np.uint64
 #: Bytes of text that one kernel call handles; a single longer text is handled alone, whole.
 BLOCK_BYTES = 4 << 20
-_BASE = 0x9E3779B97F4A7C15 | 1
-_BASE_INV = pow(_BASE, -1, 1 << 64)
+#: Bases of the two independent rolling hashes, and their inverses.
+_BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+_INVERSES = tuple(pow(b, -1, 1 << 64) for b in _BASES)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -24,7 +25,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-_BYTE = mix(np.arange(1, 257, dtype=U) * U(0xD6E8FEB86659FD93))
+_BYTES = (mix(np.arange(1, 257, dtype=U) * U(0xD6E8FEB86659FD93)), mix(np.arange(1, 257, dtype=U) * U(0xA0761D6478BD642F)))
 _powers: dict[int, np.ndarray] = {}
 
 
@@ -61,7 +62,7 @@ class Texts:
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray):
         self.data, self.offsets, self.n = data, offsets, len(offsets) - 1
-        self._sums: np.ndarray | None = None
+        self._sums: dict[int, np.ndarray] = {}
 
     def lowered(self) -> Texts:
         return Texts(LOWER[self.data], self.offsets)
@@ -83,14 +84,25 @@ class Texts:
         ends = np.flatnonzero(inside & ~after[1:]) + 1
         return starts, ends, np.diff(np.searchsorted(starts, self.offsets))
 
-    def hashes(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """A 64-bit hash of each byte range; equal bytes have equal hashes wherever they stand."""
-        if self._sums is None:
-            self._sums = np.zeros(len(self.data) + 1, dtype=U)
-            np.cumsum(_BYTE[self.data] * powers(_BASE, len(self.data))[: len(self.data)], out=self._sums[1:])
-        raw = (self._sums[ends] - self._sums[starts]) * powers(_BASE_INV, len(self.data))[starts]
+    def hashes(self, starts: np.ndarray, ends: np.ndarray, which: int = 0) -> np.ndarray:
+        """A 64-bit hash of each byte range; equal bytes have equal hashes wherever they stand. ``which``: of two independent ones."""
+        n = len(self.data)
+        if which not in self._sums:
+            sums = self._sums[which] = np.zeros(n + 1, dtype=U)
+            np.cumsum(_BYTES[which][self.data] * powers(_BASES[which], n)[:n], out=sums[1:])
+        sums = self._sums[which]
+        raw = (sums[ends] - sums[starts]) * powers(_INVERSES[which], n)[starts]
         return mix(raw + (ends - starts).astype(U) * U(0xA24BAED4963EE407))
 
+    def sliding(self, k: int) -> np.ndarray:
+        """The hash of the k bytes from each byte on; near the end of the block, the largest value."""
+        n = len(self.data)
+        self.hashes(np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64))
+        out = np.full(n, ~U(0))
+        if n >= k:
+            out[: n - k + 1] = mix((self._sums[0][k:] - self._sums[0][:-k]) * powers(_INVERSES[0], n)[: n - k + 1])
+        return out
+
 
 def blocks(batch: pa.RecordBatch, column: str = "text", limit: int = BLOCK_BYTES) -> Iterator[tuple[int, int, Texts]]:
     """The batch's texts in runs of about ``limit`` bytes: first row, row after the last, texts. Null is an empty text."""
