@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, language, near_duplicates, packing, quality, repeats, toxicity
+from . import decontamination, language, near_duplicates, packing, pseudonyms, quality, repeats, toxicity
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_toxicity": toxicity.op4_toxicity,
     "op5_packing": packing.op5_packing,
     "op6_decontamination": decontamination.op6_decontamination,
+    "op8_pii": pseudonyms.op8_pii,
     "op9_near_duplicates": near_duplicates.op9_near_duplicates,
     "op10_repeats": repeats.op10_repeats,
 }
