@@ -700,3 +700,52 @@ def total_duration(spark, d):
     """A stream's length with the two chunks that prime it."""
     c = preset("good").with_rates(44100, 48000).with_channels(1).geometry.chunk_in
     return events(spark, d).groupBy("user_id").agg((F.count("*") / F.lit(44100.0) + F.lit(2 * c) / F.lit(44100.0)).alias("seconds"))
+
+
+def _scratch(spark: SparkSession, name: str) -> str:
+    """A new folder among those that all executors share; a temporary one in local mode."""
+    import tempfile
+    import uuid
+
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = "file://" + tempfile.gettempdir()
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+@query("stream_chunks", f"SELECT user_id, count(*) // 8 AS whole_chunks, count(*) % 8 AS held FROM ({EVENTS}) GROUP BY user_id")
+def stream_chunks(spark, d):
+    """Chunks that a stream has handed on, and samples it still holds."""
+    n = events(spark, d).groupBy("user_id").agg(F.count("*").alias("n"))
+    return n.select("user_id", F.expr("n div 8").alias("whole_chunks"), F.expr("n % 8").alias("held"))
+
+
+@query("stream_resample", f"SELECT user_id, out_idx, sample FROM ({kernel_oracle(UP, EVENTS, ['user_id'])}) x WHERE out_idx + 6 < (SELECT count(*) // 8 FROM events e WHERE e.user_id = x.user_id) * 12")
+def stream_resample(spark, d):
+    """The event tracks as a stream, compared with the batch form where no prediction plays a part."""
+    from cadenza.streaming.resampler import resample_stream, run_available
+
+    source, folder = table(spark, d, "events").select("user_id", "ts", "event_id", "value"), _scratch(spark, "arrivals")
+    half = source.agg(F.percentile_approx(F.col("ts").cast("timestamp").cast("double"), 0.5)).first()[0]
+    early = F.col("ts").cast("timestamp").cast("double") < F.lit(half)
+    for part in (source.where(early), source.where(~early)):  # two arrivals, in order
+        part.coalesce(1).write.mode("append").parquet(folder)
+    stream = spark.readStream.schema(source.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    out = run_available(resample_stream(stream, UP, keys=["user_id"], order=["ts", "event_id"], sample="value"), _scratch(spark, "stream"), _scratch(spark, "stream-state"))
+    return inner(out.select("user_id", F.col("n").alias("frame_idx"), "sample"), events(spark, d), UP, ["user_id"])
+
+
+@query("wav_roundtrip", f"SELECT vec_id, channel, list(round(greatest(-1.0::DOUBLE, least(1.0::DOUBLE, sample)) * 32767) / 32767 ORDER BY frame_idx) AS samples FROM (SELECT vec_id, CAST(frame_idx % 2 AS INTEGER) AS channel, frame_idx, sample FROM ({EMB})) GROUP BY vec_id, channel")
+def wav_roundtrip(spark, d):
+    """Two-channel 16-bit files written and read again."""
+    from cadenza.sources.wav import read_wav, write_wav
+
+    planar = layout.deinterleave(vectors(spark, d).drop("label"), 2).groupBy("vec_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("channel", "samples"))), lambda x: x["samples"]).alias("samples"))
+    folder = _scratch(spark, "wav")
+    failed = write_wav(planar.select("vec_id", "samples", F.lit(44100).alias("rate"), F.lit("i16").alias("fmt")), folder, name="vec_id", rate="rate", fmt="fmt", samples="samples").where("error is not null").count()
+    if failed:
+        raise OSError(f"{failed} files were not written")
+    back = read_wav(spark, folder)
+    return back.select(F.regexp_extract("path", r"([0-9]+)\.wav$", 1).cast("long").alias("vec_id"), "channel", "samples")
