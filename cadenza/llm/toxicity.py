@@ -24,8 +24,8 @@ from .textkernels import ALNUM, Texts, U, doc_of, in_doc, mix
 FOLDS = 5
 #: Labelled documents used for learning at most, chosen by the hash of their id.
 MAX_LABELLED = 20_000
-#: Texts that the Dirichlet prior is worth.
-PRIOR_TEXTS = 200.0
+#: The Dirichlet prior is worth the square root of so many times the number of learning texts.
+PRIOR_FACTOR = 2.0
 #: A form counts as significant from so many standard deviations and so high a score.
 MIN_Z, MIN_SCORE = 5.0, 2.0
 #: Bytes of the beginnings that count as forms, besides the whole word.
@@ -47,6 +47,10 @@ class Model:
     slope: float = 1.0
     bias: float = -20.0
 
+    def level(self, n_words: int) -> float:
+        """The scaled score that a harmless text of so many words is expected to reach; at least that of no segment."""
+        return max(0.0, self.log_k + math.log(max(n_words, 1)))
+
 
 def forms(texts: Texts) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
     """The words' forms by kind (hashes, and the numbers of the words that have them), and the number of words in each text."""
@@ -109,7 +113,7 @@ def segments_of(texts: Texts, model: Model) -> tuple[np.ndarray, list[list[tuple
 
 def evidence(n_words: int, scores: list[float], model: Model) -> float:
     """Summed excess of the significant segments over what a harmless text of that length reaches; without any, the largest one's shortfall."""
-    level = model.log_k + math.log(max(n_words, 1))
+    level = model.level(n_words)
     over = [model.rate * s - level for s in scores]
     above = [x for x in over if x > 0]
     return sum(above) if above else max([*over, -level])
@@ -148,8 +152,9 @@ def _learn_words(sample: DataFrame) -> Model:
     # Forms seen in a few texts can't be significant. What is left has at most one row for each form of the bounded sample.
     table = counted.where("t + o >= 5").toPandas()
     t, o = table["t"].to_numpy(dtype=float), table["o"].to_numpy(dtype=float)
-    prior = PRIOR_TEXTS * (t + o) / (n_t + n_o)
-    odds = lambda y, n: np.log((y + prior) / (n + PRIOR_TEXTS - y - prior + 0.5))
+    worth = math.sqrt(PRIOR_FACTOR * (n_t + n_o))
+    prior = worth * (t + o) / (n_t + n_o)
+    odds = lambda y, n: np.log((y + prior) / (n + worth - y - prior + 0.5))
     delta = odds(t, n_t) - odds(o, n_o)
     z = delta / np.sqrt(1 / (t + prior) + 1 / (o + prior))
     use = (np.abs(z) >= MIN_Z) & (np.abs(delta) >= MIN_SCORE)
@@ -225,7 +230,7 @@ def score(documents: DataFrame, model: Model, keep: list[str] | None = None) ->
         own = shared.value
         counts, found, _ = segments_of(texts, own)
         scores = [probability(evidence(n, [s for s, _, _ in f], own), own) for n, f in zip(counts.tolist(), found, strict=True)]
-        passages = [[{"score": s, "first": a, "last": b} for s, a, b in f if own.rate * s > own.log_k + math.log(max(n, 1))] for n, f in zip(counts.tolist(), found, strict=True)]
+        passages = [[{"score": s, "first": a, "last": b} for s, a, b in f if own.rate * s > own.level(n)] for n, f in zip(counts.tolist(), found, strict=True)]
         import pyarrow as pa
 
         kind = pa.list_(pa.struct([("score", pa.float64()), ("first", pa.int64()), ("last", pa.int64())]))
