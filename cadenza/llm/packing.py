@@ -33,17 +33,17 @@ CACHE_CHARS = 48
 RANKED_TOGETHER = 100_000
 
 #: Texts with a letter from here on are left to the tokenizer library whole.
-_LATIN_END = 0x250
+_LATIN_END = 0x180
 _HAS_CONTROL = re.compile("[\x1c-\x1f]")
 _HAS_OTHER = re.compile(f"[{chr(_LATIN_END)}-{chr(0x10FFFF)}]")
 
 
 def _latin(kind: str) -> str:
-    """A character class of the characters below U+0250 of a Unicode category."""
+    """A character class of the characters below U+0180 of a Unicode category."""
     return "".join(re.escape(chr(c)) for c in range(_LATIN_END) if unicodedata.category(chr(c))[0] == kind)
 
 
-#: The pre-token pattern of the tokenizer file, as it reads for characters below U+0250.
+#: The pre-token pattern of the tokenizer file, as it reads for characters below U+0180.
 _PRE_TOKENS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_latin('L')}]+|[{_latin('N')}]|[^\s\x85{_latin('L')}{_latin('N')}]+")
 #: Pre-tokens in one call of the tokenizer.
 _AT_ONCE = 512
