@@ -76,7 +76,7 @@ def resample_groups(planar: DataFrame, configs: dict[tuple[int, int], Config], *
             raise ResampleError("WrongFormat", f"no configuration for {c} channels at {r}")
         return None if x is None else resample_signal(x, configs[c, r], a, b)
 
-    return _arrow_map(source, keep, work, out_name=samples).select(*planar.columns)
+    return _arrow_map(source, keep, work, out_name=samples).select(*[c for c in planar.columns if c not in (pre, post)])
 
 
 def chunked(long: DataFrame, config: Config, *, keys: list[str], index: str, sample: str) -> DataFrame:
