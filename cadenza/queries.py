@@ -545,10 +545,10 @@ def edge_trim_error(spark, d):
     return out.select("l_suppkey", rounded("mean_error").alias("mean_error"), rounded("peak_error").alias("peak_error"))
 
 
-@query("max_error_index", f"SELECT l_suppkey, max(abs(l_quantity - l_extendedprice / 1000)) AS peak, min_by(frame_idx, (-abs(l_quantity - l_extendedprice / 1000), frame_idx)) AS at FROM ({ITEMS}) GROUP BY l_suppkey")
+@query("max_error_index", f"SELECT l_suppkey, max(abs(l_quantity - l_extendedprice / 1000)) AS peak, min_by(frame_idx, (-abs(l_quantity - l_extendedprice / 1000), frame_idx)) AS peak_frame FROM ({ITEMS}) GROUP BY l_suppkey")
 def max_error_index(spark, d):
     error = F.abs(F.col("l_quantity") - F.col("l_extendedprice") / 1000)
-    return items(spark, d).groupBy("l_suppkey").agg(F.max(error).alias("peak"), F.min_by("frame_idx", F.struct(-error, "frame_idx")).alias("at"))
+    return items(spark, d).groupBy("l_suppkey").agg(F.max(error).alias("peak"), F.min_by("frame_idx", F.struct(-error, "frame_idx")).alias("peak_frame"))
 
 
 @query("energy", f"SELECT vec_id, {sql_round('sum(sample * sample)')} AS energy FROM ({EMB}) GROUP BY vec_id")
