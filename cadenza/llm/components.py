@@ -5,19 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import forget, written
+from .shared import forget, merged_with, written
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-    return both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+    return both.where("b > a").join(merged_with(least), "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     least = down.groupBy("a").agg(F.min("b").alias("m"))
-    moved = down.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    moved = down.join(merged_with(least), "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return moved.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
 
 
@@ -32,7 +32,7 @@ def components(links: DataFrame) -> DataFrame:
         # Done when every vertex hangs on exactly one root: no vertex has two parents and no parent has a parent.
         shape = edges.groupBy("a").agg(F.count("*").alias("n"))
         state = edges.select("a").distinct().withColumnRenamed("a", "p")
-        if not shape.where("n > 1").limit(1).count() and not edges.join(state, edges["b"] == state["p"], "left_semi").limit(1).count():
+        if not shape.where("n > 1").limit(1).count() and not edges.join(merged_with(state), edges["b"] == state["p"], "left_semi").limit(1).count():
             return edges.select(F.col("a").alias("v"), F.col("b").alias("label"))
         after = written(_small_star(_large_star(edges)), "links")
         forget(edges)

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import forget, map_texts, written
+from .shared import forget, map_texts, merged_with, written
 from .textkernels import LOWER, SPACED, Texts, U, in_doc, mix, shingles
 
 #: Links: 100 * shared shingles >= THRESHOLD * all shingles of the two.
@@ -102,14 +102,14 @@ class Join:
         left = part.select(F.col("v").alias("a"), F.col("n").alias("na"), F.col("mins").alias("ma"))
         right = part.select(F.col("v").alias("b"), F.col("n").alias("nb"), F.col("mins").alias("mb"))
         agree = F.aggregate(F.zip_with("ma", "mb", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
-        near = written(pairs.join(left, "a").join(right, "b").where((100 * F.least("na", "nb") >= self.threshold * F.greatest("na", "nb")) & (agree >= AGREE)).select("a", "b"), "near")
+        near = written(pairs.join(merged_with(left), "a").join(merged_with(right), "b").where((100 * F.least("na", "nb") >= self.threshold * F.greatest("na", "nb")) & (agree >= AGREE)).select("a", "b"), "near")
         wanted = near.select(F.explode(F.array("a", "b")).alias("v")).distinct()
-        ids = self.vertices.join(wanted, "v", "left_semi").select(F.col("least").alias("doc_id"))
-        sets = map_texts(self.documents.join(ids, "doc_id", "left_semi"), [], "v long, s array<long>", _sets(self.words)).where("v is not null").join(wanted, "v", "left_semi").dropDuplicates(["v"])
+        ids = self.vertices.join(merged_with(wanted), "v", "left_semi").select(F.col("least").alias("doc_id"))
+        sets = map_texts(self.documents.join(merged_with(ids), "doc_id", "left_semi"), [], "v long, s array<long>", _sets(self.words)).where("v is not null").join(merged_with(wanted), "v", "left_semi").dropDuplicates(["v"])
         sets = written(sets, "sets")
         a, b = sets.select(F.col("v").alias("a"), F.col("s").alias("sa")), sets.select(F.col("v").alias("b"), F.col("s").alias("sb"))
         shared = F.size(F.array_intersect("sa", "sb"))
-        links = written(near.join(a, "a").join(b, "b").where(100 * shared >= self.threshold * (F.size("sa") + F.size("sb") - shared)).select("a", "b"), "confirmed")
+        links = written(near.join(merged_with(a), "a").join(merged_with(b), "b").where(100 * shared >= self.threshold * (F.size("sa") + F.size("sb") - shared)).select("a", "b"), "confirmed")
         forget(near)
         forget(sets)
         return links
@@ -119,18 +119,18 @@ class Join:
         known = labels.select("v", "label")
         ends = links
         for side in ("a", "b"):
-            ends = ends.join(known.withColumnRenamed("v", side).withColumnRenamed("label", "l"), side, "left").withColumn(side, F.coalesce("l", side)).drop("l")
+            ends = ends.join(merged_with(known.withColumnRenamed("v", side).withColumnRenamed("label", "l")), side, "left").withColumn(side, F.coalesce("l", side)).drop("l")
         roots = components(ends)
-        old = known.join(roots.select(F.col("v").alias("label"), F.col("label").alias("to")), "label", "left").select("v", F.coalesce("to", "label").alias("label"))
-        new = written(old.unionByName(roots.join(known, "v", "left_anti")).where("v <> label"), "labels")
+        old = known.join(merged_with(roots.select(F.col("v").alias("label"), F.col("label").alias("to"))), "label", "left").select("v", F.coalesce("to", "label").alias("label"))
+        new = written(old.unionByName(roots.join(merged_with(known), "v", "left_anti")).where("v <> label"), "labels")
         forget(labels)
         return new
 
     def labelled(self, nodes: DataFrame, labels: DataFrame) -> DataFrame:
         """Nodes (key, v) with each vertex's label, without the nodes that hold a single component; with each node's size."""
-        full = nodes.join(labels, "v", "left").select("key", "v", F.coalesce("label", "v").alias("label"))
+        full = nodes.join(merged_with(labels), "v", "left").select("key", "v", F.coalesce("label", "v").alias("label"))
         mixed = full.groupBy("key").agg(F.count("*").alias("size"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key", "size")
-        return full.join(mixed, "key")
+        return full.join(merged_with(mixed), "key")
 
     def run(self) -> DataFrame:
         """doc_id, n_shingles, component_id, kept for every row."""
@@ -139,14 +139,14 @@ class Join:
         for r in range(STAR_ROUNDS):
             open_nodes = self.labelled(nodes, labels)
             hubs = open_nodes.groupBy("key").agg(F.min_by(F.struct("v", "label"), F.xxhash64("v", F.lit(r))).alias("hub"))
-            pairs = open_nodes.join(hubs, "key").where("label <> hub.label").select(F.least("v", "hub.v").alias("a"), F.greatest("v", "hub.v").alias("b")).distinct()
+            pairs = open_nodes.join(merged_with(hubs), "key").where("label <> hub.label").select(F.least("v", "hub.v").alias("a"), F.greatest("v", "hub.v").alias("b")).distinct()
             labels = self.merged(labels, self.confirmed(pairs))
         labels = self.merged(labels, self.confirmed(self.compared(nodes, labels)))
         forget(nodes)
-        member = self.vertices.select("v", "least").join(labels, "v", "left").select("v", "least", F.coalesce("label", "v").alias("label"))
+        member = self.vertices.select("v", "least").join(merged_with(labels), "v", "left").select("v", "least", F.coalesce("label", "v").alias("label"))
         least = member.groupBy("label").agg(F.min("least").alias("component_id"))
-        member = member.join(least, "label").select("v", "component_id")
-        return self.rows.select("doc_id", "n_shingles", "v").join(member, "v", "left").select("doc_id", "n_shingles", *self.report())
+        member = member.join(merged_with(least), "label").select("v", "component_id")
+        return self.rows.select("doc_id", "n_shingles", "v").join(merged_with(member), "v", "left").select("doc_id", "n_shingles", *self.report())
 
     @staticmethod
     def report() -> list[Column]:
@@ -167,7 +167,7 @@ class Join:
     def shared(dealt: DataFrame) -> DataFrame:
         """``dealt`` without the nodes of one vertex."""
         several = dealt.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-        return written(dealt.join(several, "key").select("key", "v"), "nodes")
+        return written(dealt.join(merged_with(several), "key").select("key", "v"), "nodes")
 
     def compared(self, nodes: DataFrame, labels: DataFrame) -> DataFrame:
         """All pairs of vertices of different components that meet in a small node; larger nodes branch first."""
@@ -188,7 +188,7 @@ class Join:
                 return found.distinct()
             second = F.when(F.pmod(F.xxhash64("key", F.lit("second")), F.lit(SECOND)) == 0, self.choice("key", 1))
             chosen = F.array_compact(F.array(self.choice("key", 0), second))
-            dealt = large.select("key", "v").join(self.vertices.select("v", "mins"), "v").select("v", "key", "mins", F.explode(chosen).alias("c"))
+            dealt = large.select("key", "v").join(merged_with(self.vertices.select("v", "mins")), "v").select("v", "key", "mins", F.explode(chosen).alias("c"))
             nodes = self.shared(dealt.select("v", F.xxhash64("key", "c", F.element_at("mins", F.col("c") + 1)).alias("key")))
 
     @staticmethod
@@ -198,9 +198,9 @@ class Join:
     def pairs_in(self, left: DataFrame, keys: list[str], right: DataFrame | None = None) -> DataFrame:
         """Pairs of one node and different components whose sizes allow a link."""
         n = self.vertices.select("v", "n")
-        a = left.join(n, "v").select(*keys, F.col("v").alias("a"), F.col("label").alias("la"), F.col("n").alias("na"))
-        b = (left if right is None else right).join(n, "v").select(*keys, F.col("v").alias("b"), F.col("label").alias("lb"), F.col("n").alias("nb"))
-        return a.join(b, keys).where((F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & (100 * F.least("na", "nb") >= self.threshold * F.greatest("na", "nb"))).select("a", "b")
+        a = left.join(merged_with(n), "v").select(*keys, F.col("v").alias("a"), F.col("label").alias("la"), F.col("n").alias("na"))
+        b = (left if right is None else right).join(merged_with(n), "v").select(*keys, F.col("v").alias("b"), F.col("label").alias("lb"), F.col("n").alias("nb"))
+        return a.join(merged_with(b), keys).where((F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & (100 * F.least("na", "nb") >= self.threshold * F.greatest("na", "nb"))).select("a", "b")
 
 
 def near_duplicates(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, threshold: int = THRESHOLD) -> DataFrame:
@@ -220,7 +220,7 @@ def near_duplicates(documents: DataFrame, *, id_col: str = "doc_id", text_col: s
 def drop_near_duplicates(documents: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
     """``documents`` with one document of each component; all columns as they are. Rows with a null id stay."""
     gone = near_duplicates(documents, id_col=id_col, **options).where("not kept").select(F.col("doc_id").alias("__gone")).distinct()
-    return documents.join(gone, documents[id_col] == F.col("__gone"), "left_anti")
+    return documents.join(merged_with(gone), documents[id_col] == F.col("__gone"), "left_anti")
 
 
 def op9_near_duplicates(spark, sf_dir: str) -> DataFrame:

@@ -45,6 +45,11 @@ def forget(df: DataFrame) -> None:
             p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def merged_with(df: DataFrame) -> DataFrame:
+    """``df`` as a join's right side, never broadcast: its size follows the corpus, and a table's files tell too little of its size in memory."""
+    return df.hint("merge")
+
+
 def fold_of(doc_id: str | Column, folds: int) -> Column:
     """``crc32(doc_id as text) mod folds``: the fold a document belongs to."""
     return F.crc32(F.col(doc_id).cast("string") if isinstance(doc_id, str) else doc_id.cast("string")) % folds
