@@ -8,7 +8,9 @@ the target recall. Every link is confirmed on full shingle sets.
 
 Groups of thousands of near copies never separate, and listing their pairs would grow with the square of their size.
 So each node first offers the links to one hub; vertices that confirmed links have already joined need no comparison
-with each other, which leaves only pairs between different components for the exhaustive part.
+with each other, which leaves only pairs between different components for the exhaustive part. Nodes of near copies
+that are still large then are compared on full sets inside tasks, in blocks of bounded size, and yield a spanning
+forest of their links.
 """
 
 from __future__ import annotations
@@ -32,16 +34,16 @@ COORDINATES = 64
 TREES = 12
 #: A node chooses a second coordinate one time in so many: 1 + 1/4 = 1/0.8 children a vertex, on average.
 SECOND = 4
-#: Nodes of at most so many vertices are compared exhaustively.
-SMALL = 32
-#: Nodes that are larger still after so many levels are compared in tiles.
-DEPTH = 8
+#: Pairs of nodes of at most so many vertices are listed.
+SMALL = 8
+#: Nodes that are larger still after so many levels hold near copies. They are compared inside tasks, in blocks.
+DEPTH = 3
+#: Vertices and shingles of a block at most (a single set may be larger).
+BLOCK_VERTICES, BLOCK_SHINGLES = 1500, 1_000_000
 #: Rounds of links to hubs before the exhaustive comparison.
 STAR_ROUNDS = 2
 #: Equal coordinates that a pair needs to be confirmed: at the threshold 51 of 64 are expected, under 36 has probability 4e-6.
 AGREE = 36
-#: Parts of a tile's side.
-TILE = 64
 
 _SALTS = mix(np.arange(1, COORDINATES + 1, dtype=U) * U(0xC2B2AE3D27D4EB4F))
 _FACTORS = mix(_SALTS) | U(1)
@@ -103,10 +105,7 @@ class Join:
         right = part.select(F.col("v").alias("b"), F.col("n").alias("nb"), F.col("mins").alias("mb"))
         agree = F.aggregate(F.zip_with("ma", "mb", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
         near = written(pairs.join(merged_with(left), "a").join(merged_with(right), "b").where((100 * F.least("na", "nb") >= self.threshold * F.greatest("na", "nb")) & (agree >= AGREE)).select("a", "b"), "near")
-        wanted = near.select(F.explode(F.array("a", "b")).alias("v")).distinct()
-        ids = self.vertices.join(merged_with(wanted), "v", "left_semi").select(F.col("least").alias("doc_id"))
-        sets = map_texts(self.documents.join(merged_with(ids), "doc_id", "left_semi"), [], "v long, s array<long>", _sets(self.words)).where("v is not null").join(merged_with(wanted), "v", "left_semi").dropDuplicates(["v"])
-        sets = written(sets, "sets")
+        sets = self.sets_of(near.select(F.explode(F.array("a", "b")).alias("v")).distinct())
         a, b = sets.select(F.col("v").alias("a"), F.col("s").alias("sa")), sets.select(F.col("v").alias("b"), F.col("s").alias("sb"))
         shared = F.size(F.array_intersect("sa", "sb"))
         links = written(near.join(merged_with(a), "a").join(merged_with(b), "b").where(100 * shared >= self.threshold * (F.size("sa") + F.size("sb") - shared)).select("a", "b"), "confirmed")
@@ -114,6 +113,12 @@ class Join:
         forget(sets)
         return links
 
+    def sets_of(self, wanted: DataFrame) -> DataFrame:
+        """The full shingle sets (v, s) of the vertices ``wanted`` (v), from the texts."""
+        ids = self.vertices.join(merged_with(wanted), "v", "left_semi").select(F.col("least").alias("doc_id"))
+        read = map_texts(self.documents.join(merged_with(ids), "doc_id", "left_semi"), [], "v long, s array<long>", _sets(self.words)).where("v is not null")
+        return written(read.join(merged_with(wanted), "v", "left_semi").dropDuplicates(["v"]), "sets")
+
     def merged(self, labels: DataFrame, links: DataFrame) -> DataFrame:
         """Labels (v, label; vertices that are their own label left out) after joining the components that ``links`` connect."""
         known = labels.select("v", "label")
@@ -141,7 +146,9 @@ class Join:
             hubs = open_nodes.groupBy("key").agg(F.min_by(F.struct("v", "label"), F.xxhash64("v", F.lit(r))).alias("hub"))
             pairs = open_nodes.join(merged_with(hubs), "key").where("label <> hub.label").select(F.least("v", "hub.v").alias("a"), F.greatest("v", "hub.v").alias("b")).distinct()
             labels = self.merged(labels, self.confirmed(pairs))
-        labels = self.merged(labels, self.confirmed(self.compared(nodes, labels)))
+        pairs, large = self.branched(nodes, labels)
+        links = self.confirmed(pairs).unionByName(self.linked_in_blocks(large))
+        labels = self.merged(labels, links)
         forget(nodes)
         member = self.vertices.select("v", "least").join(merged_with(labels), "v", "left").select("v", "least", F.coalesce("label", "v").alias("label"))
         least = member.groupBy("label").agg(F.min("least").alias("component_id"))
@@ -169,38 +176,86 @@ class Join:
         several = dealt.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
         return written(dealt.join(merged_with(several), "key").select("key", "v"), "nodes")
 
-    def compared(self, nodes: DataFrame, labels: DataFrame) -> DataFrame:
-        """All pairs of vertices of different components that meet in a small node; larger nodes branch first."""
+    def branched(self, nodes: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """All pairs of vertices of different components that meet in a small node, and the nodes that stay large."""
         found = None
         for depth in range(DEPTH + 1):
             level = written(self.labelled(nodes, labels), "level")
             small, large = level.where(F.col("size") <= SMALL), level.where(F.col("size") > SMALL)
-            more = self.pairs_in(small, ["key"])
-            last = depth == DEPTH
-            if last:
-                tiles = large.withColumn("i", F.pmod(F.xxhash64("v"), F.lit(TILE)))
-                left = tiles.withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(TILE - 1))))
-                right = tiles.withColumnRenamed("i", "j").withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(TILE - 1))))
-                more = more.unionByName(self.pairs_in(left, ["key", "i", "j"], right))
-            pairs = written(more.distinct(), "pairs")
+            pairs = written(self.pairs_in(small).distinct(), "pairs")
             found = pairs if found is None else found.unionByName(pairs)
-            if last or not large.limit(1).count():
-                return found.distinct()
+            if depth == DEPTH or not large.limit(1).count():
+                return found.distinct(), large
             second = F.when(F.pmod(F.xxhash64("key", F.lit("second")), F.lit(SECOND)) == 0, self.choice("key", 1))
             chosen = F.array_compact(F.array(self.choice("key", 0), second))
             dealt = large.select("key", "v").join(merged_with(self.vertices.select("v", "mins")), "v").select("v", "key", "mins", F.explode(chosen).alias("c"))
             nodes = self.shared(dealt.select("v", F.xxhash64("key", "c", F.element_at("mins", F.col("c") + 1)).alias("key")))
 
+    def linked_in_blocks(self, large: DataFrame) -> DataFrame:
+        """Links (a, b) that connect all vertices of each node which confirmed links connect, beyond those of one component already.
+
+        A node is dealt into blocks by vertex, and each pair of blocks is a group of bounded size.
+        """
+        weighed = large.join(merged_with(self.vertices.select("v", "n")), "v").select("key", "v", "label", "n")
+        weight = weighed.groupBy("key").agg(F.greatest(F.ceil(F.count("*") / BLOCK_VERTICES), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+        placed = weighed.join(merged_with(weight), "key").withColumn("own", F.pmod(F.xxhash64("v"), F.col("blocks")).cast("int"))
+        dealt = placed.select("key", "v", "label", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+        dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "v", "label")
+        sets = self.sets_of(large.select("v").distinct())
+        threshold = self.threshold
+
+        def compare(rows):
+            import pandas as pd
+
+            a, b = forest(rows["v"].to_numpy(), rows["label"].to_numpy(), list(rows["s"]), threshold)
+            return pd.DataFrame({"a": a, "b": b})
+
+        links = dealt.join(merged_with(sets), "v").groupBy("key", "i", "j").applyInPandas(compare, "a long, b long")
+        return written(links.distinct(), "links")
+
     @staticmethod
     def choice(key: str, nth: int) -> Column:
         return F.pmod(F.xxhash64(key, F.lit(nth)), F.lit(COORDINATES)).cast("int")
 
-    def pairs_in(self, left: DataFrame, keys: list[str], right: DataFrame | None = None) -> DataFrame:
+    def pairs_in(self, nodes: DataFrame) -> DataFrame:
         """Pairs of one node and different components whose sizes allow a link."""
-        n = self.vertices.select("v", "n")
-        a = left.join(merged_with(n), "v").select(*keys, F.col("v").alias("a"), F.col("label").alias("la"), F.col("n").alias("na"))
-        b = (left if right is None else right).join(merged_with(n), "v").select(*keys, F.col("v").alias("b"), F.col("label").alias("lb"), F.col("n").alias("nb"))
-        return a.join(merged_with(b), keys).where((F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & (100 * F.least("na", "nb") >= self.threshold * F.greatest("na", "nb"))).select("a", "b")
+        sized = nodes.join(merged_with(self.vertices.select("v", "n")), "v")
+        a = sized.select("key", F.col("v").alias("a"), F.col("label").alias("la"), F.col("n").alias("na"))
+        b = sized.select("key", F.col("v").alias("b"), F.col("label").alias("lb"), F.col("n").alias("nb"))
+        return a.join(merged_with(b), "key").where((F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & (100 * F.least("na", "nb") >= self.threshold * F.greatest("na", "nb"))).select("a", "b")
+
+
+def forest(names: np.ndarray, labels: np.ndarray, sets: list[np.ndarray], threshold: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links that connect what the confirmed links among a group's sets connect, given that equal labels are connected.
+
+    Shared shingles of all pairs are counted by products of incidence matrices, a slice of the shingles at a time.
+    """
+    n = len(names)
+    size = np.array([len(s) for s in sets])
+    of = np.repeat(np.arange(n), size)
+    order = np.argsort(values := np.concatenate(sets), kind="stable")
+    values, of = values[order], of[order]
+    fresh = np.append(True, values[1:] != values[:-1])
+    column = np.cumsum(fresh) - 1
+    several = np.bincount(column)[column] > 1
+    of, column = of[several], np.unique(column[several], return_inverse=True)[1]
+    shared = np.zeros((n, n), dtype=np.float32)
+    step = 2048
+    edges = np.searchsorted(column, np.arange(0, int(column.max()) + 1 + step, step)) if len(column) else []
+    for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+        slab = np.zeros((n, step), dtype=np.float32)
+        slab[of[lo:hi], column[lo:hi] % step] = 1
+        shared += slab @ slab.T
+    near = 100 * shared.astype(np.float64) >= threshold * (size[:, None] + size[None, :] - shared)
+    a, b = np.nonzero(np.triu(near & (labels[:, None] != labels[None, :]), 1))
+    root = np.unique(labels, return_inverse=True)[1]
+    kept_a, kept_b = [], []
+    for x, y in zip(a.tolist(), b.tolist(), strict=True):
+        if root[x] != root[y]:
+            kept_a.append(x)
+            kept_b.append(y)
+            root[root == root[y]] = root[x]
+    return names[kept_a], names[kept_b]
 
 
 def near_duplicates(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, threshold: int = THRESHOLD) -> DataFrame:
