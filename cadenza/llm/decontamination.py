@@ -195,11 +195,12 @@ def contamination(documents: DataFrame, benchmark: DataFrame, *, id_col: str = "
     """
     docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     sc = docs.sparkSession.sparkContext
-    indexes = list(benchmark_blocks(benchmark, item_col, item_text_col, window, block_bytes))
-    if len(indexes) == 1:
-        return docs.mapInArrow(_digest(sc.broadcast(indexes[0])), "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
+    # Each block goes to a broadcast file before the next is fetched.
+    shared = [sc.broadcast(index) for index in benchmark_blocks(benchmark, item_col, item_text_col, window, block_bytes)]
+    if len(shared) == 1:
+        return docs.mapInArrow(_digest(shared[0]), "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
     rows = docs.withColumn("row", F.monotonically_increasing_id())
-    return _several(rows, [sc.broadcast(x) for x in indexes])
+    return _several(rows, shared)
 
 
 def _several(rows: DataFrame, shared: list) -> DataFrame:
