@@ -29,10 +29,10 @@ def components(links: DataFrame) -> DataFrame:
     """
     edges = written(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
     while True:
-        # Done when every vertex hangs on exactly one root: no vertex has two parents and no parent has a parent.
-        shape = edges.groupBy("a").agg(F.count("*").alias("n"))
-        state = edges.select("a").distinct().withColumnRenamed("a", "p")
-        if not shape.where("n > 1").limit(1).count() and not edges.join(merged_with(state), edges["b"] == state["p"], "left_semi").limit(1).count():
+        # Done when every vertex hangs on exactly one root: none has two parents, none is both child and parent.
+        roles = edges.select(F.col("a").alias("v"), F.lit(1).alias("child"), F.lit(0).alias("parent")).unionByName(edges.select(F.col("b").alias("v"), F.lit(0).alias("child"), F.lit(1).alias("parent")))
+        odd = roles.groupBy("v").agg(F.sum("child").alias("child"), F.max("parent").alias("parent")).where("child > 1 or child > 0 and parent > 0")
+        if not odd.limit(1).count():
             return edges.select(F.col("a").alias("v"), F.col("b").alias("label"))
         after = written(_small_star(_large_star(edges)), "links")
         forget(edges)
