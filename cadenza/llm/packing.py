@@ -26,7 +26,7 @@ CAPACITY = 2048
 #: Id that ends a document.
 END_ID = 0
 #: Pre-tokens whose ids a worker process keeps; the memory is emptied when it is full.
-CACHE_ENTRIES = 700_000
+CACHE_ENTRIES = 300_000
 #: Longer pre-tokens are not kept.
 CACHE_CHARS = 48
 #: Pieces of one length that are ranked together.

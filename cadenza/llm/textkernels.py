@@ -12,7 +12,7 @@ import pyarrow as pa
 
 U = np.uint64
 #: Bytes of text that one kernel call handles; a single longer text is handled alone, whole.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 1 << 20
 #: Bases of the two independent rolling hashes, and their inverses.
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 _INVERSES = tuple(pow(b, -1, 1 << 64) for b in _BASES)
