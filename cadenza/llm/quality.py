@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import bounded_ids, map_texts
+from .shared import map_texts, merged_with, written
 from .textkernels import SPACED, Texts, byte_class, doc_of, in_doc, shingles
 
 #: Base rule: fewer words than this fail.
@@ -26,8 +26,6 @@ MAX_REPEAT_PERCENT = 50
 MAX_FALSE_REJECTION = 0.03
 #: Chance that any of the promises is broken.
 DELTA = 0.05
-#: Labelled documents used at most, chosen by the hash of their id. They are the only ones collected.
-MAX_LABELLED = 40_000
 #: Rules: a ratio, high in bad texts, and its cutoffs from lenient to strict.
 RULES = {
     "symbols_per_char": (0.5, 0.4, 0.3, 0.25, 0.2, 0.15, 0.12, 0.1, 0.08, 0.06),
@@ -102,29 +100,48 @@ def binomial_tail(k: int, n: int, p: float) -> float:
 
 def certify(values: dict[tuple[str, str], np.ndarray], rules=RULES, max_false: float = MAX_FALSE_REJECTION, delta: float = DELTA) -> dict[str, dict[str, float]]:
     """``values``: for each (rule, stratum) the rule's values on good held-out documents. Returns rule -> stratum -> strictest proven cutoff."""
-    alpha, level = max_false / len(rules), delta / max(1, len(values))
+    return certify_counts({(rule, stratum): (len(seen), [int((seen > cutoff).sum()) for cutoff in rules[rule]]) for (rule, stratum), seen in values.items()}, rules, max_false, delta)
+
+
+def certify_counts(counts: dict[tuple[str, str], tuple[int, list[int]]], rules=RULES, max_false: float = MAX_FALSE_REJECTION, delta: float = DELTA) -> dict[str, dict[str, float]]:
+    """:func:`certify` from, for each (rule, stratum), the number of good held-out documents and how many of them are over each of the rule's cutoffs."""
+    alpha, level = max_false / len(rules), delta / max(1, len(counts))
     found: dict[str, dict[str, float]] = {r: {} for r in rules}
-    for (rule, stratum), seen in sorted(values.items()):
-        for cutoff in rules[rule]:
-            if binomial_tail(int((seen > cutoff).sum()), len(seen), alpha) > level:
+    for (rule, stratum), (n, over) in sorted(counts.items()):
+        for cutoff, k in zip(rules[rule], over, strict=True):
+            # At or over the mean the tail is a half at least (the median is within one of the mean).
+            if (level < 0.5 and k >= math.ceil(n * alpha)) or binomial_tail(k, n, alpha) > level:
                 break
             found[rule][stratum] = cutoff
     return found
 
 
-def learn_cutoffs(documents: DataFrame, labels: DataFrame, *, stratum_col: str = "lang", max_labelled: int = MAX_LABELLED, **options) -> dict[str, dict[str, float]]:
-    """Cutoffs from good labelled documents (quality 1), a bounded number of them. Good documents that fail the base rules say nothing of the cutoffs and are left out."""
+def features(documents: DataFrame, stratum_col: str) -> DataFrame:
+    """doc_id, stratum and the columns of FEATURES for each row of ``documents``."""
+    rows = documents.select(F.col("doc_id"), F.col("text"), F.coalesce(F.col(stratum_col).cast("string"), F.lit("")).alias("stratum"))
+    return map_texts(rows, ["doc_id", "stratum"], FEATURES, count_features)
+
+
+def learn_cutoffs(counted: DataFrame, labels: DataFrame, **options) -> dict[str, dict[str, float]]:
+    """Cutoffs from all good labelled documents (quality 1) of ``counted``, a table of :func:`features`.
+
+    Good documents that fail the base rules say nothing of the cutoffs and are left out. Only the counts of each
+    stratum are collected.
+    """
     good = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("q")).where("q = 1").select("doc_id")
-    rows = documents.select("doc_id", "text", F.coalesce(F.col(stratum_col).cast("string"), F.lit("")).alias("stratum")).join(bounded_ids(good, max_labelled), "doc_id")
-    seen = map_texts(rows, ["doc_id", "stratum"], FEATURES, count_features).where(~base_failed()).select("stratum", *[v.alias(k) for k, v in rule_values().items()]).toPandas()
-    values = {(r, s): part[r].to_numpy() for s, part in seen.groupby("stratum") for r in RULES}
-    return certify(values, **options)
+    values = rule_values()
+    over = {(rule, i): F.count_if(values[rule] > cutoff).alias(f"{rule}_{i}") for rule in RULES for i, cutoff in enumerate(RULES[rule])}
+    strata = counted.where(~base_failed()).join(merged_with(good), "doc_id").groupBy("stratum").agg(F.count("*").alias("n"), *over.values()).collect()
+    return certify_counts({(rule, row["stratum"]): (row["n"], [row[f"{rule}_{i}"] for i in range(len(RULES[rule]))]) for row in strata for rule in RULES}, **options)
 
 
 def apply_rules(documents: DataFrame, cutoffs: dict[str, dict[str, float]], *, stratum_col: str = "lang") -> DataFrame:
     """doc_id, the counts of FEATURES, base_failed, rejected_by (the rules that reject) and kept, for each row of ``documents``."""
-    rows = documents.select(F.col("doc_id"), F.col("text"), F.coalesce(F.col(stratum_col).cast("string"), F.lit("")).alias("stratum"))
-    counted = map_texts(rows, ["doc_id", "stratum"], FEATURES, count_features)
+    return decided(features(documents, stratum_col), cutoffs)
+
+
+def decided(counted: DataFrame, cutoffs: dict[str, dict[str, float]]) -> DataFrame:
+    """:func:`apply_rules` for a table of :func:`features`."""
     hits = []
     for rule, value in rule_values().items():
         if table := cutoffs.get(rule):
@@ -142,7 +159,8 @@ def judge(documents: DataFrame, labels: DataFrame, *, stratum_col: str = "lang",
     are judged each by itself; labels that contradict each other count as not good. With no labels, or too few to
     prove anything, only the base rules reject. Other columns play no part.
     """
-    return apply_rules(documents, learn_cutoffs(documents, labels, stratum_col=stratum_col, **options), stratum_col=stratum_col)
+    counted = written(features(documents, stratum_col), "features")
+    return decided(counted, learn_cutoffs(counted, labels, **options))
 
 
 def op1_quality_rules(spark, sf_dir: str) -> DataFrame:

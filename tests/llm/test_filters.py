@@ -50,6 +50,23 @@ def test_cutoffs_keep_their_promise():
     assert quality.certify({("r", "s"): np.zeros(3)}, rules=rules, max_false=0.01)["r"] == {}
 
 
+def test_cutoffs_use_all_labels(spark):
+    """A language with 2 % of 80,000 good labels gets cutoffs, and a common one those that all its labels prove."""
+    n, common = 80_000, 78_400
+    clean = " ".join(f"word{i}" for i in range(60))
+    # 0.42 % of the common language's labels are over every cutoff for exclamation marks: 78,400 labels prove 0.5 % with that share, 40,000 don't.
+    loud = (F.col("id") % 238 == 5) & (F.col("id") < common)
+    docs = spark.range(n).select(F.col("id").alias("doc_id"), F.when(loud, clean + " " + "!" * 120).otherwise(clean).alias("text"), F.when(F.col("id") < common, "en").otherwise("fr").alias("lang"))
+    labels = docs.select("doc_id", F.lit(1).alias("quality"))
+    judged = {(r.lang, r.kept): r.n for r in quality.judge(docs, labels).join(docs.select("doc_id", "lang"), "doc_id").groupBy("lang", "kept").agg(F.count("*").alias("n")).collect()}
+    assert judged == {("en", True): common - 330, ("en", False): 330, ("fr", True): n - common}
+    cutoffs = quality.learn_cutoffs(quality.features(docs, "lang"), labels)
+    assert all(cutoffs[rule] == {"en": steps[-1], "fr": steps[-1]} for rule, steps in quality.RULES.items())
+    # Counts decide as the values themselves do.
+    seen = np.concatenate((np.full(329, 2.0), np.zeros(common - 329)))
+    assert quality.certify({("r", "s"): seen}, rules={"r": (1.5, 1.0)}) == quality.certify_counts({("r", "s"): (common, [329, 329])}, rules={"r": (1.5, 1.0)})
+
+
 def test_language(spark, more_docs, odd, nothing):
     model = language.learn(more_docs)
     out = language.identify(more_docs, model, ["doc_id", "lang"]).toPandas()
