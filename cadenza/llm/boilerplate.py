@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import merged_with
+
 #: A line on more than this share of a host's pages is boilerplate ...
 MAX_RATIO = 0.05
 #: ... if at least so many of the host's pages have it.
@@ -40,24 +42,44 @@ def _let(value: Column, use) -> Column:
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
+def _line_keys() -> Column:
+    return F.array_distinct(F.transform(F.filter("__lines", lambda x: x != ""), _key))
+
+
 def boilerplate(pages: DataFrame, max_ratio: float, min_pages: int) -> DataFrame:
-    """``pages`` has columns __host and __lines. Returns one row for each host that has boilerplate: __host, __drop (names of its lines)."""
-    counted = pages.select("__host", F.explode(F.array_distinct(F.transform(F.filter("__lines", lambda x: x != ""), _key))).alias("k")).groupBy("__host", "k").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
-    totals = pages.groupBy("__host").agg(F.count("*").alias("total"))
+    """``pages`` has columns __host and __lines, or __host, __keys (names of lines) and __copy. Returns one row for each host that has boilerplate: __host, __drop (names of its lines).
+
+    Without __copy each row is a page; with it, all rows of a host that share its value are one page.
+    """
+    copied = "__copy" in pages.columns
+    page = ["__host", "__copy"] if copied else ["__host"]
+    lines, hosts = pages.select(*page, F.explode("__keys" if copied else _line_keys()).alias("k")), pages.select(*page)
+    if copied:
+        lines, hosts = lines.distinct(), hosts.distinct()
+    counted = lines.groupBy("__host", "k").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
+    totals = hosts.groupBy("__host").agg(F.count("*").alias("total"))
     return counted.join(totals, "__host").where(F.col("n") > max_ratio * F.col("total")).groupBy("__host").agg(F.collect_list("k").alias("__drop"))
 
 
-def drop_boilerplate(pages: DataFrame, *, host: Column, text_col: str, max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES, count_col: str | None = None) -> DataFrame:
+def drop_boilerplate(pages: DataFrame, *, host: Column, text_col: str, max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES, count_col: str | None = None, copies: DataFrame | None = None, id_col: str = "doc_id") -> DataFrame:
     """``pages`` with the boilerplate lines of each host taken out of ``text_col``; ``count_col``, if given, gets the number of lines dropped.
 
     Lines are what stands between newlines; two are equal if all their characters are. Empty lines are never
     boilerplate. A line counts once for each page row that has it, however often; repeated rows count as pages. A ratio
     equal to the limit keeps the line. Null and empty hosts are one host; null text stays null, and counts as a page
-    without lines. All other columns stay; names that begin with two underscores are the operator's own.
+    without lines. With ``copies`` (``id_col``, copy; each id once) the rows of one copy are one page of a host, whatever
+    lines they have between them, and so are rows of equal text whose id has no copy; all of them are still cut. All
+    other columns stay; names that begin with two underscores are the operator's own.
     """
     text = F.col(f"`{text_col}`")
     dealt = pages.withColumn("__host", F.coalesce(host, F.lit(""))).withColumn("__lines", F.split(text, "\n", -1))
-    known = boilerplate(dealt.select("__host", "__lines"), max_ratio, min_pages)
+    counted = dealt.select("__host", "__lines")
+    if copies is not None:
+        # Only names of lines and texts are shuffled here.
+        named = dealt.select(F.col(f"`{id_col}`").alias("__id"), "__host", _line_keys().alias("__keys"), _key(text).alias("__text"))
+        of = copies.select(F.col(f"`{id_col}`").alias("__id"), F.struct(F.col("copy").cast("long").alias("a"), F.lit(0).cast("long").alias("b")).alias("__of"))
+        counted = named.join(merged_with(of), "__id", "left").select("__host", "__keys", F.coalesce("__of", "__text").alias("__copy"))
+    known = boilerplate(counted, max_ratio, min_pages)
     joined = dealt.join(known, "__host", "left")
     here = F.array_intersect(F.transform("__lines", _key), F.col("__drop"))
     left = _let(here, lambda gone: F.when(F.size(gone) > 0, F.filter("__lines", lambda x: (x == "") | ~F.array_contains(gone, _key(x)))).otherwise(F.col("__lines")))

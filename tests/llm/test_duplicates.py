@@ -160,3 +160,19 @@ def test_repeats(spark, odd, largest):
         rows = [(r.doc_id, (r.text or "").encode()) for r in odd.collect()]
         assert sorted(map(repr, cut(rows, 400))) == sorted(repr(tuple(r)) for r in repeats.repeats(odd).collect())
         assert repeats.repeats(odd.limit(0)).count() == 0
+
+
+def test_pipeline_keeps_the_text_of_copies(spark):
+    """Exact and near copies that are a third of a source keep one whole text; a line of the other documents is still cut."""
+    import corpus_pipeline
+
+    words = lambda seed: "\n".join(" ".join(f"w{seed}x{line}y{i}" for i in range(12)) for line in range(10))
+    rows = [(i, words("own" + str(i)) + "\nAll rights reserved", "s") for i in range(60)]
+    rows += [(100 + i, words("same"), "s") for i in range(15)]
+    rows += [(200 + i, words("near").replace(f"wnearx{i % 10}y{i % 12}", f"edit{i}"), "s") for i in range(15)]
+    rows += [(300 + i, words("few"), "t") for i in range(4)] + [(310 + i, words("t" + str(i)), "t") for i in range(20)]
+    docs = spark.createDataFrame([(*r, len(r[1])) for r in rows], "doc_id long, text string, source string, n_chars long")
+    cut = {r.doc_id: r.text for r in corpus_pipeline.line_dedup(spark, docs, "").collect()}
+    assert cut == {i: t.removesuffix("\nAll rights reserved") for i, t, _ in rows}
+    left = {r.doc_id: r.text for r in corpus_pipeline.near_dedup(spark, corpus_pipeline.line_dedup(spark, docs, ""), "").collect()}
+    assert set(left) == {*range(60), 100, 200, 300, *range(310, 330)} and left[100] == words("same") and left[200] and left[300] == words("few")
