@@ -22,9 +22,18 @@ CYCLE_YEARS, CYCLE_DAYS, DATE_SPLIT = 400, 146_097, 5_411
 EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]{1,64}+@[A-Za-z0-9-]{1,63}+(?:\.[A-Za-z0-9-]{1,63}+){1,8}"
 IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
 SECRET = r"(?<![A-Za-z0-9])(?:[0-9a-f]{32,64}|[0-9A-F]{32,64})(?![A-Za-z0-9])"
-PHONE = r"(?<![A-Za-z0-9])\+[0-9]{1,3}[ .-]?\([0-9]{2,4}\)[ .-]?[0-9]{3,4}[ .-]?[0-9]{3,4}(?![0-9])|(?<![A-Za-z0-9+])\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}(?![0-9])|(?<![A-Za-z0-9.-])[0-9]{3}[-.][0-9]{3}[-.][0-9]{4}(?![0-9.-]?[0-9])"
+# Telephone numbers: with the area in brackets; of zone 1; international without and with separators (8 to 15 digits in all); national in groups of 3, 3 and 4.
+PHONE = "|".join((
+    r"(?<![A-Za-z0-9])\+[0-9]{1,3}[ .-]?\([0-9]{2,4}\)[ .-]?[0-9]{3,4}[ .-]?[0-9]{3,4}(?![0-9])",
+    r"(?<![A-Za-z0-9+])\+1[ .-]?[0-9]{3}[ .-]?[0-9]{3}[ .-]?[0-9]{4}(?![0-9])",
+    r"(?<![A-Za-z0-9+])\+[1-9][0-9]{7,14}(?![0-9])",
+    r"(?<![A-Za-z0-9+])\+[1-9](?:[ .-]?\(?[0-9]\)?){7,14}(?![0-9])",
+    r"(?<![A-Za-z0-9+])\([0-9]{3}\)[ .-]?[0-9]{3}[ .-][0-9]{4}(?![0-9])",
+    r"(?<![A-Za-z0-9.+-])(?:1[ .-])?[0-9]{3}[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9.-]?[0-9])",
+))
+COUNTRY = r"^(?:\+[0-9]{1,3}(?=[ .(-])|\+(?:[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3}))?"
 ADDRESS = r"(?<![0-9A-Za-z.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?!\.?[0-9])"
-DATE = r"(?<![0-9A-Za-z-])[0-9]{4}-[0-9]{2}-[0-9]{2}(?![0-9A-Za-z]|-[0-9])|(?<![0-9A-Za-z/])[0-9]{2}/[0-9]{2}/[0-9]{4}(?![0-9A-Za-z/])"
+DATE = r"(?<![0-9A-Za-z-])[0-9]{4}-[0-9]{2}-[0-9]{2}(?![0-9A-SU-Za-su-z]|[Tt](?![0-9])|-[0-9])|(?<![0-9A-Za-z/])[0-9]{2}/[0-9]{2}/[0-9]{4}(?![0-9A-Za-z/])"
 SOCIAL = r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z]|-[0-9])"
 CARD = r"(?<![0-9A-Za-z])[0-9](?:[ -]?[0-9]){12,18}(?![0-9A-Za-z])"
 KINDS = {"email": EMAIL, "secret": SECRET, "iban": IBAN, "phone": PHONE, "address": ADDRESS, "date": DATE, "social": SOCIAL, "card": CARD}
@@ -116,8 +125,8 @@ def _iban(m: Column, key: str) -> Column:
 
 
 def _phone(m: Column, key: str) -> Column:
-    """All digits but a country code after + are permuted."""
-    code = F.regexp_extract(m, r"^(\+[0-9]{1,3})?", 0)
+    """All digits but a country code after + are permuted. The code ends at a separator, or else where the numbering plan says."""
+    code = F.regexp_extract(m, COUNTRY, 0)
     rest = F.substr(m, F.length(code) + 1)
     return _let(rest, lambda r: F.concat(code, _refilled(r, _feistel(_digits(r), key, "phone"), "[0-9]")))
 
@@ -131,7 +140,9 @@ def _address(m: Column, key: str) -> Column:
 
 def _date(m: Column, key: str) -> Column:
     iso = m.rlike("^[0-9]{4}-")
-    day = F.coalesce(F.try_to_date(F.when(iso, m), "yyyy-MM-dd"), F.try_to_date(F.when(~iso, m), "dd/MM/yyyy"))
+    # A date with slashes that can be read both ways has its day first.
+    day_first = F.try_to_date(F.when(~iso, m), "dd/MM/yyyy")
+    day = F.coalesce(F.try_to_date(F.when(iso, m), "yyyy-MM-dd"), day_first, F.try_to_date(F.when(~iso, m), "MM/dd/yyyy"))
 
     def made(d: Column) -> Column:
         epoch = F.lit("2000-01-01").cast("date")
@@ -139,7 +150,7 @@ def _date(m: Column, key: str) -> Column:
         cycle = F.floor(n / CYCLE_DAYS).cast("bigint")
         new = _numbers(n - cycle * CYCLE_DAYS, CYCLE_DAYS // DATE_SPLIT, DATE_SPLIT, key, "date") + cycle * CYCLE_DAYS
         date = _let(new, lambda x: F.date_add(epoch, x.cast("int")))
-        return F.when(iso, F.date_format(date, "yyyy-MM-dd")).otherwise(F.date_format(date, "dd/MM/yyyy"))
+        return F.when(iso, F.date_format(date, "yyyy-MM-dd")).when(day_first.isNotNull(), F.date_format(date, "dd/MM/yyyy")).otherwise(F.date_format(date, "MM/dd/yyyy"))
 
     return _let(day, lambda d: F.when(d.isNotNull() & (F.year(d) >= 1000), made(d)).otherwise(m))
 

@@ -167,6 +167,18 @@ def test_pseudonyms(spark, odd, nothing):
     assert pseudonyms.pseudonymise(nothing, key="k", report=True).count() == 0
 
 
+def test_pseudonyms_of_common_forms(spark):
+    forms = ["+1-415-555-0123", "+14155550123", "+44 20 7946 0958", "+442079460958", "+44 (0)20 7946 0958", "+33 1 23 45 67 89", "415 555 0123", "1-415-555-0123", "(415) 555 0123", "2024-02-29T10:00:00Z", "12/31/2020"]
+    plain = ["+12 34", "+123456", "1234567890123456", "2024-02-29Tea", "31/31/2020", "12 345 678"]
+    df = spark.createDataFrame(list(enumerate(f"at {x}, end" for x in forms + plain)), "i int, text string")
+    out = [r.text[3:-5] for r in pseudonyms.pseudonymise(df, key="k").orderBy("i").collect()]
+    shape = lambda x: re.sub("[0-9]", "0", x)
+    assert all(a != b and shape(a) == shape(b) for a, b in zip(out, forms, strict=False)) and out[len(forms) :] == plain
+    digits = [re.sub("[^0-9]", "", x) for x in out]
+    assert digits[0] == digits[1] and digits[2] == digits[3] and digits[0][0] == "1" and digits[2][:2] == "44" and digits[6] == digits[8] == digits[0][1:]
+    assert out[9].endswith("T10:00:00Z") and int(out[10][:2]) <= 12
+
+
 def test_feistel_is_a_permutation(spark):
     df = spark.range(1000).select(F.lpad(F.col("id").cast("string"), 3, "0").alias("x"))
     assert df.select(pseudonyms._feistel(F.col("x"), "k", "t").alias("y")).distinct().count() == 1000
