@@ -27,8 +27,6 @@ BITS = 15
 SMOOTH = 0.5
 #: Iterations of expectation-maximisation over all languages, and over each nested set.
 ROUNDS, SET_ROUNDS = 6, 3
-#: Languages that a set may hold at most.
-MAX_SET = 3
 #: Cost of one more language, in units of half the logarithm of the number of words.
 PENALTY = 2.0
 #: Texts of one kernel call; a word takes one row of likelihoods by language.
@@ -138,13 +136,22 @@ def infer(texts: Texts, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarra
     chosen[rows, best] = 1.0
     cost = PENALTY * 0.5 * np.log(np.maximum(counts, 2))
     value = alone[rows, best] - cost
-    for size in range(2, min(MAX_SET, k) + 1):
-        mask = np.zeros((texts.n, k))
-        np.put_along_axis(mask, rank[:, :size], 1.0, axis=1)
-        start = np.maximum(share, 1e-3) * mask
-        mixed, logs = _mixture(like, start / start.sum(axis=1, keepdims=True), edges, doc, counts, SET_ROUNDS)
-        better = logs - size * cost > value
-        chosen[better], value[better] = mixed[better], (logs - size * cost)[better]
+    # All texts try two and three languages; those whose value still rose at the last size go on, up to all languages.
+    on = rows
+    for size in range(2, k + 1):
+        words = slice(None) if len(on) == texts.n else np.isin(doc, on)
+        n = counts[on]
+        mask = np.zeros((len(on), k))
+        np.put_along_axis(mask, rank[on, :size], 1.0, axis=1)
+        start = np.maximum(share[on], 1e-3) * mask
+        mixed, logs = _mixture(like[words], start / start.sum(axis=1, keepdims=True), np.cumsum(n) - n, doc_of(n), n, SET_ROUNDS)
+        worth = logs - size * cost[on]
+        better = worth > value[on]
+        chosen[on[better]], value[on[better]] = mixed[better], worth[better]
+        if size >= 3:
+            on = on[better]
+            if not len(on):
+                break
     lang = np.where(counts > 0, chosen.argmax(axis=1), -1)
     return lang, np.where(counts > 0, chosen.max(axis=1), 0.0), chosen * (counts > 0)[:, None]
 

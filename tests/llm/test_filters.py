@@ -86,6 +86,15 @@ def test_language_mixture(spark, more_docs):
     assert set(found) == {"en", "fr"} and min(found.values()) > 0.3
 
 
+def test_language_mixture_of_all(spark, more_docs):
+    model = language.learn(more_docs)
+    best = [more_docs.where((F.col("lang") == lang) & (F.length("text") > 2000)).orderBy("doc_id").first().text[:2000] for lang in model.langs]
+    assert len(best) == 4
+    mixed = spark.createDataFrame([(1, "\n".join(best)), (2, best[0]), (3, None)], "doc_id long, text string")
+    found = {r.doc_id: {x.lang: x.share for x in r.languages} for r in language.identify(mixed, model).collect()}
+    assert set(found[1]) == set(model.langs) and min(found[1].values()) > 0.15 and set(found[2]) == {model.langs[0]} and not found[3]
+
+
 def test_maximal_segments():
     def brute(scores):
         """Ruzzo and Tompa's definition: the heaviest segment (shortest, then first), then the same left and right of it."""
