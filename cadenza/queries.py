@@ -474,6 +474,27 @@ def resample_whole(spark, d):
     return resample_long(events(spark, d), preset("fast").with_rates(44100, 48000).with_channels(1), keys=["user_id"])
 
 
+# The queries that the kernel join checks return what depends on whole chunks alone; these return every output sample,
+# with predicted edges and joints, which SQL can't express.
+for _name, _config in (("resample_up", UP), ("resample_down", DOWN), ("resample_phase", UP.with_phase(0.25, 3.0))):
+
+    @query(f"{_name}_all")
+    def resample_events_all(spark, d, config=_config):
+        return resample_long(events(spark, d), config, keys=["user_id"])
+
+
+@query("resample_planar_all")
+def resample_planar_all(spark, d):
+    return layout.to_long(resample(vectors(spark, d), UP), keys=["vec_id"])
+
+
+@query("resample_gapless_all")
+def resample_gapless_all(spark, d):
+    """All samples of every track of an album, joints and the album's ends too."""
+    out = resample_gapless(vectors(spark, d), UP, album=["label"], order="vec_id")
+    return out.select("label", "vec_id", F.posexplode("samples").alias("frame_idx", "sample"))
+
+
 @query("roundtrip_error")
 def roundtrip_error(spark, d):
     """Up and down again: mean and peak error over the middle of each signal."""

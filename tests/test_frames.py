@@ -118,3 +118,40 @@ def test_wav_files(spark, tmp_path, fmt):
     (tmp_path / "wav" / "broken.WAV").write_bytes(b"RIFFnothing")
     rows = read_wav(spark, folder).collect()
     assert sum(r.error is not None for r in rows) == 1 and sum(r.frames == 37 for r in rows) == 2 and sum(r.frames == 0 for r in rows) == 2
+
+
+def test_queries_return_every_sample(spark, tmp_path):
+    """Edges and joints of the registered queries against the whole signal."""
+    from datetime import datetime, timedelta
+
+    from cadenza.queries import DOWN, QUERIES
+    from cadenza.queries import UP as UP_QUERY
+
+    rng = np.random.default_rng(1)
+    tracks = {i: rng.normal(size=64) for i in range(5)}
+    spark.createDataFrame([(i, i // 3, v.tolist()) for i, v in tracks.items()], "vec_id long, label int, embedding array<double>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    users = {u: rng.normal(size=n) for u, n in enumerate((5, 8, 61))}
+    rows = [(u, 100 * u + i, datetime(2024, 1, 1) + timedelta(seconds=i), float(x)) for u, v in users.items() for i, x in enumerate(v)]
+    spark.createDataFrame(rows, "user_id long, event_id long, ts timestamp, value double").write.parquet(f"{tmp_path}/events.parquet")
+
+    def got(name, *keys):
+        found = {}
+        for r in sorted(QUERIES[name](spark, str(tmp_path)).collect(), key=lambda r: (*[r[k] for k in keys], r.frame_idx)):
+            found.setdefault(tuple(r[k] for k in keys), []).append(r.sample)
+        return found
+
+    for name, config in (("resample_up_all", UP_QUERY), ("resample_down_all", DOWN)):
+        out = got(name, "user_id")
+        assert all(np.allclose(out[(u,)], resample_signal(v, config)) for u, v in users.items())
+    out = got("resample_planar_all", "vec_id")
+    assert all(len(out[(i,)]) == 96 and np.allclose(out[(i,)], resample_signal(v, UP_QUERY)) for i, v in tracks.items())
+    out = got("resample_gapless_all", "label", "vec_id")
+    for label, ids in ((0, (0, 1, 2)), (1, (3, 4))):
+        for at, i in enumerate(ids):
+            pre, post = (tracks[ids[at - 1]] if at else None), (tracks[ids[at + 1]] if at + 1 < len(ids) else None)
+            assert len(out[(label, i)]) == 96 and np.allclose(out[(label, i)], resample_signal(tracks[i], UP_QUERY, pre, post))
+        # A track's first and last half block are made with one chunk of context, so they differ from the album as one signal.
+        whole, joined = resample_signal(np.concatenate([tracks[i] for i in ids]), UP_QUERY), np.concatenate([out[(label, i)] for i in ids])
+        at = np.arange(len(whole))
+        inside = (at < 90) | (at >= len(whole) - 90) | ((at % 96 >= 6) & (at % 96 < 90))
+        assert np.allclose(joined[inside], whole[inside])
