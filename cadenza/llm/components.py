@@ -32,7 +32,7 @@ def components(links: DataFrame) -> DataFrame:
         # Done when every vertex hangs on exactly one root: none has two parents, none is both child and parent.
         roles = edges.select(F.col("a").alias("v"), F.lit(1).alias("child"), F.lit(0).alias("parent")).unionByName(edges.select(F.col("b").alias("v"), F.lit(0).alias("child"), F.lit(1).alias("parent")))
         odd = roles.groupBy("v").agg(F.sum("child").alias("child"), F.max("parent").alias("parent")).where("child > 1 or child > 0 and parent > 0")
-        if not odd.limit(1).count():
+        if odd.isEmpty():
             return edges.select(F.col("a").alias("v"), F.col("b").alias("label"))
         after = written(_small_star(_large_star(edges)), "links")
         forget(edges)

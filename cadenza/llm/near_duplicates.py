@@ -3,50 +3,50 @@
 Documents with equal shingle sets are one vertex. Every vertex has a vector of minwise values. A tree's root deals
 vertices to nodes by the minwise value at one chosen coordinate (at some nodes, two), so that a pair of the threshold's
 similarity is expected to share one node at every depth; nodes with one vertex end there, large nodes branch again by
-coordinates chosen from their path, and small nodes are compared exhaustively. Independent trees repeat this to reach
-the target recall. Every link is confirmed on full shingle sets.
-
-Groups of thousands of near copies never separate, and listing their pairs would grow with the square of their size.
-So each node first offers the links to one hub; vertices that confirmed links have already joined need no comparison
-with each other, which leaves only pairs between different components for the exhaustive part. Nodes of near copies
-that are still large then are compared on full sets inside tasks, in blocks of bounded size, and yield a spanning
-forest of their links.
+coordinates chosen from their path, and small nodes are compared exhaustively inside tasks, on 64-byte sketches.
+Independent trees repeat this to reach the target recall.
+
+What the sketches connect are candidate groups, much like the groups of near-duplicates looked for but somewhat larger.
+Each vertex is in one candidate group only, so each full shingle set is read and sent once, and the links that count are
+those that full sets of one candidate group confirm.
+
+A group too large for a task, of nodes or of candidates, is first compared in blocks of its vertices; only vertices that
+stay outside the group's main component are then compared with all others.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import forget, map_texts, merged_with, written
+from .shared import bounded_right, forget, free_name, map_texts, merged_with, whole_groups, written
 from .textkernels import LOWER, SPACED, Texts, U, in_doc, mix, shingles
 
 #: Links: 100 * shared shingles >= THRESHOLD * all shingles of the two.
 THRESHOLD = 80
 #: Words of a shingle where no contract says otherwise.
 WORDS = 5
-#: Coordinates of the minwise vector.
+#: Coordinates of the minwise vector; a sketch keeps a byte of each.
 COORDINATES = 64
-#: Independent trees. A pair at the threshold is missed by a tree of depth 3 with probability 0.36, so by all with less than 1e-5.
-TREES = 12
-#: A node chooses a second coordinate one time in so many: 1 + 1/4 = 1/0.8 children a vertex, on average.
-SECOND = 4
-#: Pairs of nodes of at most so many vertices are listed.
-SMALL = 8
-#: Nodes that are larger still after so many levels hold near copies. They are compared inside tasks, in blocks.
-DEPTH = 3
-#: Vertices and shingles of a block at most (a single set may be larger).
-BLOCK_VERTICES, BLOCK_SHINGLES = 1500, 1_000_000
-#: Rounds of links to hubs before the exhaustive comparison.
-STAR_ROUNDS = 2
-#: Equal coordinates that a pair needs to be confirmed: at the threshold 51 of 64 are expected, under 36 has probability 4e-6.
-AGREE = 36
+#: Independent trees, and how often a node chooses a second coordinate: 1 + 1/4 = 1/0.8 children a vertex, on average.
+#: So the roots choose 15 coordinates, and a pair at the threshold shares none of their children with probability 0.2^15 = 3e-11.
+TREES, SECOND = 12, 4
+#: Nodes of at most so many vertices (0.7 MB of sketches) are compared exhaustively in a task; larger ones branch, at most DEPTH times.
+SMALL, DEPTH = 8192, 3
+#: Equal bytes of two sketches that make a candidate pair: at the threshold 51 of 64 are expected, under 32 has probability 2e-8.
+AGREE = 32
+#: Vertices and shingles of a candidate group that one task compares on full sets (a single set may be larger).
+GROUP_VERTICES, GROUP_SHINGLES = 4000, 1_000_000
 
 _SALTS = mix(np.arange(1, COORDINATES + 1, dtype=U) * U(0xC2B2AE3D27D4EB4F))
 _FACTORS = mix(_SALTS) | U(1)
+#: (tree, coordinate) of each choice at the roots.
+_ROOTS = [(t, c) for c, t in enumerate(t for t in range(TREES) for _ in range(1 + (t % SECOND == 0)))]
 
 
 def shingle_sets(texts: Texts, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -59,20 +59,41 @@ def shingle_sets(texts: Texts, words: int) -> tuple[np.ndarray, np.ndarray]:
     return hashes[first], np.bincount(doc[first], minlength=texts.n)
 
 
+def _names(hashes: np.ndarray, n: np.ndarray) -> pa.Array:
+    """A 64-bit name of each text's set; null for the empty set."""
+    begin = np.cumsum(n) - n
+    total = np.concatenate((np.zeros(1, dtype=U), np.cumsum(mix(hashes ^ U(0x5851F42D4C957F2D)), dtype=U)))
+    return pa.array(mix(total[begin + n] - total[begin] + n.astype(U)).view(np.int64), mask=n == 0)
+
+
+def minwise(hashes: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The minwise vector (uint32) of each set that is not empty."""
+    begin = (np.cumsum(n) - n)[n > 0]
+    mins = np.zeros((len(begin), COORDINATES), dtype=np.uint32)
+    for j in range(COORDINATES) if len(begin) else ():
+        mins[:, j] = np.minimum.reduceat((((hashes ^ _SALTS[j]) * _FACTORS[j]) >> U(32)).astype(np.uint32), begin)
+    return mins
+
+
+def root_keys(mins: np.ndarray) -> np.ndarray:
+    """The children of all trees' roots that each vector goes to."""
+    return np.stack([mix(mins[:, c].astype(U) + U(((t + 1) << 40) + (c << 34))) for t, c in _ROOTS], axis=1).view(np.int64)
+
+
+def _lists(counts: np.ndarray, values: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)), type=pa.int32()), pa.array(values))
+
+
 def _sketch(words: int):
     def run(texts: Texts, _rows) -> list:
         hashes, n = shingle_sets(texts, words)
-        begin = np.cumsum(n) - n
         some = n > 0
-        total = np.concatenate((np.zeros(1, dtype=U), np.cumsum(mix(hashes ^ U(0x5851F42D4C957F2D)), dtype=U)))
-        name = mix(total[begin + n] - total[begin] + n.astype(U)).view(np.int64)
-        mins = np.zeros((int(some.sum()), COORDINATES), dtype=np.int32)
-        for j in range(COORDINATES) if some.any() else ():
-            values = (((hashes ^ _SALTS[j]) * _FACTORS[j]) >> U(32)).astype(np.uint32)
-            mins[:, j] = np.minimum.reduceat(values, begin[some]).view(np.int32)
-        cuts = np.concatenate(([0], np.cumsum(some))) * COORDINATES
-        lists = pa.ListArray.from_arrays(pa.array(cuts, type=pa.int32()), pa.array(mins.ravel()))
-        return [n, pa.array(name, mask=~some), lists]
+        mins = minwise(hashes, n)
+        keys = root_keys(mins) if len(mins) else np.zeros((0, len(_ROOTS)), dtype=np.int64)
+        sketch = np.zeros((texts.n, COORDINATES), dtype=np.uint8)
+        sketch[some] = (mins & np.uint32(255)).astype(np.uint8)
+        m = pa.Array.from_buffers(pa.binary(COORDINATES), texts.n, [None, pa.py_buffer(sketch.tobytes())]).cast(pa.binary())
+        return [n, _names(hashes, n), _lists(some * len(_ROOTS), keys.ravel()), m]
 
     return run
 
@@ -80,202 +101,331 @@ def _sketch(words: int):
 def _sets(words: int):
     def run(texts: Texts, _rows) -> list:
         hashes, n = shingle_sets(texts, words)
-        begin = np.cumsum(n) - n
-        total = np.concatenate((np.zeros(1, dtype=U), np.cumsum(mix(hashes ^ U(0x5851F42D4C957F2D)), dtype=U)))
-        name = mix(total[begin + n] - total[begin] + n.astype(U)).view(np.int64)
-        lists = pa.ListArray.from_arrays(pa.array(np.append(begin, len(hashes)), type=pa.int32()), pa.array(hashes.view(np.int64)))
-        return [pa.array(name, mask=n == 0), lists]
+        return [_names(hashes, n), _lists(n, hashes.view(np.int64))]
 
     return run
 
 
+class Sketches:
+    """Sketches of one batch of vertices: which pairs agree enough to be candidates."""
+
+    columns = ("n", "m")
+
+    def __init__(self, n: pa.Array, m: pa.Array, threshold: int, agree: int):
+        self.n = n.to_numpy()
+        joined = b"".join(m.to_pylist())
+        self.m = np.frombuffer(joined, dtype=np.uint8).reshape(len(self.n), COORDINATES)
+        self.threshold, self.agree = threshold, agree
+
+    def row_by_row(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """For vertices ``a`` and ``b`` of equal number: whether the first is near the first, the second the second, and so on."""
+        enough = 100 * np.minimum(self.n[a], self.n[b]) >= self.threshold * np.maximum(self.n[a], self.n[b])
+        return enough & ((self.m[a] == self.m[b]).sum(axis=1) >= self.agree)
+
+    def near(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Which of the vertices ``a`` (rows) are near which of ``b`` (columns)."""
+        out = np.empty((len(a), len(b)), dtype=bool)
+        for k in range(0, len(a), 32):
+            x = a[k : k + 32]
+            enough = 100 * np.minimum.outer(self.n[x], self.n[b]) >= self.threshold * np.maximum.outer(self.n[x], self.n[b])
+            out[k : k + 32] = enough & ((self.m[x][:, None, :] == self.m[b][None, :, :]).sum(axis=2, dtype=np.uint8) >= self.agree)
+        return out
+
+    def components(self, at: np.ndarray) -> np.ndarray:
+        """The component of each vertex of ``at``, as the place of its first vertex. Those reached are compared with those not reached yet only."""
+        label, rest = np.full(len(at), -1), np.arange(len(at))
+        while len(rest):
+            label[rest[0]], new, rest = (i := rest[0]), rest[:1], rest[1:]
+            while len(new) and len(rest):
+                hit = self.near(at[new[:32]], at[rest]).any(axis=0)
+                label[rest[hit]] = i
+                new, rest = np.concatenate((new[32:], rest[hit])), rest[~hit]
+        return label
+
+
+class Sets:
+    """Full shingle sets of one batch of vertices: which pairs reach the threshold."""
+
+    columns = ("s",)
+
+    def __init__(self, s: pa.Array, threshold: int, _agree: int):
+        self.values = s.flatten().to_numpy()
+        self.size = s.value_lengths().to_numpy().astype(np.int64)
+        self.begin = np.cumsum(self.size) - self.size
+        self.threshold = threshold
+
+    def _of(self, v: int) -> np.ndarray:
+        return self.values[self.begin[v] : self.begin[v] + self.size[v]]
+
+    def row_by_row(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(a), dtype=bool)
+        for k, (x, y) in enumerate(zip(a.tolist(), b.tolist(), strict=True)):
+            if 100 * min(self.size[x], self.size[y]) >= self.threshold * max(self.size[x], self.size[y]):
+                shared = len(np.intersect1d(self._of(x), self._of(y), assume_unique=True))
+                out[k] = 100 * shared >= self.threshold * (self.size[x] + self.size[y] - shared)
+        return out
+
+    def near(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Shared shingles of all pairs are counted by products of incidence matrices, a slice of the shingles at a time."""
+        both = np.unique(np.concatenate((a, b)))
+        n = len(both)
+        of = np.repeat(np.arange(n), self.size[both])
+        values = np.concatenate([self._of(x) for x in both.tolist()])
+        order = np.argsort(values, kind="stable")
+        values, of = values[order], of[order]
+        column = np.cumsum(np.append(False, values[1:] != values[:-1]))
+        several = np.bincount(column)[column] > 1
+        of, column = of[several], np.unique(column[several], return_inverse=True)[1]
+        at_a, at_b = np.searchsorted(both, a), np.searchsorted(both, b)
+        shared, step = np.zeros((len(a), len(b)), dtype=np.float32), 2048
+        edges = np.searchsorted(column, np.arange(0, int(column.max()) + 1 + step, step)) if len(column) else []
+        for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+            slab = np.zeros((n, step), dtype=np.float32)
+            slab[of[lo:hi], column[lo:hi] % step] = 1
+            shared += slab[at_a] @ slab[at_b].T
+        out = np.empty(shared.shape, dtype=bool)
+        for k in range(0, len(a), 256):
+            some = shared[k : k + 256].astype(np.float64)
+            out[k : k + 256] = 100 * some >= self.threshold * (self.size[a[k : k + 256]][:, None] + self.size[b][None, :] - some)
+        return out
+
+    def components(self, at: np.ndarray) -> np.ndarray:
+        return connected(self.near(at, at))
+
+
+def connected(near: np.ndarray) -> np.ndarray:
+    """The component of each vertex of a symmetric matrix of links, as the place of its first vertex."""
+    label = np.full(len(near), -1)
+    for i in range(len(near)):
+        if label[i] < 0:
+            label[i], new = i, np.array([i])
+            while len(new):
+                new = np.flatnonzero(near[new].any(axis=0) & (label < 0))
+                label[new] = i
+    return label
+
+
+def stars(key: np.ndarray, v: np.ndarray, items) -> tuple[np.ndarray, np.ndarray]:
+    """What links within groups of equal ``key`` connect, as (vertex, least vertex of its component in the group)."""
+    if not len(key):
+        return v, v
+    first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+    count = np.diff(np.append(first, len(key)))
+    component = np.repeat(first, count)
+    alike = items.row_by_row(np.arange(len(key)), component) | (np.arange(len(key)) == component)
+    for g in np.flatnonzero(~np.logical_and.reduceat(alike, first)).tolist():
+        at = np.arange(first[g], first[g] + count[g])
+        component[at] = at[items.components(at)]
+    order = np.lexsort((v, component))
+    head = np.append(True, component[order][1:] != component[order][:-1])
+    least = v[order][np.flatnonzero(head)][np.cumsum(head) - 1]
+    other = least != v[order]
+    return v[order][other], least[other]
+
+
+LINKS = "a long, b long"
+
+
+def _pairs(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(a, type=pa.int64()), pa.array(b, type=pa.int64())], names=["a", "b"])
+
+
+class Groups:
+    """Groups (key, v, the kind's columns) of vertices, and the links that connect what is near within each group."""
+
+    def __init__(self, kind: type[Sketches] | type[Sets], threshold: int, agree: int, limit: int):
+        self.kind, self.threshold, self.agree, self.limit = kind, threshold, agree, limit
+
+    def items(self, table: pa.Table, prefix: str = ""):
+        return self.kind(*(table.column(prefix + c).combine_chunks() for c in self.kind.columns), self.threshold, self.agree)
+
+    def dealt(self, rows: DataFrame, by: list[str], columns: list[str], run: Callable[[pa.Table], pa.RecordBatch]) -> DataFrame:
+        """``run`` over tables that hold whole groups of ``by``."""
+
+        def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for table in whole_groups(batches, len(by)):
+                yield run(table)
+
+        return rows.select(*by, *columns).repartition(*by).sortWithinPartitions(*by, "v").mapInArrow(each, LINKS)
+
+    def small(self, groups: DataFrame) -> DataFrame:
+        """Links of groups that fit in a task."""
+
+        def run(table: pa.Table) -> pa.RecordBatch:
+            return _pairs(*stars(table.column("key").to_numpy(), table.column("v").to_numpy(), self.items(table)))
+
+        return self.dealt(groups, ["key"], ["v", *self.kind.columns], run)
+
+    def in_blocks(self, groups: DataFrame) -> DataFrame:
+        """Links within blocks of the vertices of large groups."""
+        weigh = self.weight(groups)
+        cut = groups.groupBy("key").agg(F.greatest(F.ceil(F.count("*") / self.limit), F.ceil(F.sum(weigh) / GROUP_SHINGLES)).alias("blocks"))
+        block = F.xxhash64("key", F.pmod(F.xxhash64("v", "key"), "blocks"))
+        return self.small(groups.join(merged_with(cut), "key").select(block.alias("key"), "v", *self.kind.columns))
+
+    def weight(self, groups: DataFrame) -> Column:
+        """Shingles that a vertex brings to a task."""
+        return F.size("s") if self.kind is Sets else F.lit(0)
+
+    def mixed(self, groups: DataFrame, labels: DataFrame) -> DataFrame:
+        """``groups`` with each vertex's label, without the groups that hold a single component; main: the group's most frequent label; outside: its vertices of other labels."""
+        full = groups.join(merged_with(labels), "v", "left").withColumn("label", F.coalesce("label", "v"))
+        main = full.groupBy("key", "label").agg(F.count("*").alias("c")).groupBy("key").agg(F.max_by("label", F.struct("c", "label")).alias("main"), (F.sum("c") - F.max("c")).alias("outside")).where("outside > 0")
+        return full.join(merged_with(main), "key")
+
+    def rest(self, groups: DataFrame) -> DataFrame:
+        """Links between the labels of mixed groups: vertices outside the main component against all others, in blocks."""
+        out = F.col("label") != F.col("main")
+        weigh = self.weight(groups)
+        blocks = lambda who: F.greatest(F.lit(1), F.ceil(F.count(F.when(who, 1)) / self.limit), F.ceil(F.sum(F.when(who, weigh)) / GROUP_SHINGLES)).cast("int")
+        cut = groups.groupBy("key").agg(blocks(out).alias("left"), blocks(F.lit(True)).alias("all"))
+        placed = groups.join(merged_with(cut), "key")
+        columns = ["v", "label", *self.kind.columns]
+        every = placed.select("key", *columns, F.pmod(F.xxhash64("v"), F.col("all")).cast("int").alias("j"), F.explode(F.sequence(F.lit(0), F.col("left") - 1)).alias("i"), F.lit(False).alias("outer"))
+        outer = placed.where(out).select("key", *columns, F.pmod(F.xxhash64("v", F.lit(1)), F.col("left")).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("all") - 1)).alias("j"), F.lit(True).alias("outer"))
+
+        def run(table: pa.Table) -> pa.RecordBatch:
+            key = np.stack([table.column(c).to_numpy().astype(np.int64) for c in ("key", "i", "j")])
+            items, v, label, outside = self.items(table), table.column("v").to_numpy(), table.column("label").to_numpy(), table.column("outer").to_numpy()
+            a, b = [], []
+            cuts = [0, *(np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1).tolist(), key.shape[1]]
+            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+                at = np.arange(lo, hi)
+                x, y = at[outside[lo:hi]], at[~outside[lo:hi]]
+                if len(x) and len(y):
+                    p, q = np.nonzero(items.near(x, y) & (label[x][:, None] != label[y][None, :]))
+                    pair = np.sort(np.stack([label[x][p], label[y][q]], axis=1), axis=1)
+                    # Labels are vertices, so one link between two labels stands for all of them.
+                    pair = np.unique(pair, axis=0)
+                    a.append(pair[:, 0])
+                    b.append(pair[:, 1])
+            none = np.zeros(0, dtype=np.int64)
+            return _pairs(np.concatenate([none, *a]), np.concatenate([none, *b]))
+
+        return self.dealt(every.unionByName(outer), ["key", "i", "j"], [*columns, "outer"], run)
+
+
 class Join:
     """One run of the join: the tables it builds and their removal."""
 
-    def __init__(self, documents: DataFrame, words: int, threshold: int):
+    def __init__(self, documents: DataFrame, words: int, threshold: int, agree: int):
         self.words, self.threshold = words, threshold
         self.documents = documents
-        self.rows = written(map_texts(documents, ["doc_id"], "n_shingles long, v long, mins array<int>", _sketch(words)), "sketches")
-        self.vertices = written(self.rows.where("v is not null and doc_id is not null").groupBy("v").agg(F.min("doc_id").alias("least"), F.first("n_shingles").alias("n"), F.first("mins").alias("mins")), "vertices")
-
-    def confirmed(self, pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b) whose full sets reach the threshold. The sketch and the sizes only rule out pairs that can't."""
-        part = self.vertices.select("v", "n", "mins")
-        left = part.select(F.col("v").alias("a"), F.col("n").alias("na"), F.col("mins").alias("ma"))
-        right = part.select(F.col("v").alias("b"), F.col("n").alias("nb"), F.col("mins").alias("mb"))
-        agree = F.aggregate(F.zip_with("ma", "mb", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
-        near = written(pairs.join(merged_with(left), "a").join(merged_with(right), "b").where((100 * F.least("na", "nb") >= self.threshold * F.greatest("na", "nb")) & (agree >= AGREE)).select("a", "b"), "near")
-        sets = self.sets_of(near.select(F.explode(F.array("a", "b")).alias("v")).distinct())
-        a, b = sets.select(F.col("v").alias("a"), F.col("s").alias("sa")), sets.select(F.col("v").alias("b"), F.col("s").alias("sb"))
-        shared = F.size(F.array_intersect("sa", "sb"))
-        links = written(near.join(merged_with(a), "a").join(merged_with(b), "b").where(100 * shared >= self.threshold * (F.size("sa") + F.size("sb") - shared)).select("a", "b"), "confirmed")
-        forget(near)
-        forget(sets)
-        return links
-
-    def sets_of(self, wanted: DataFrame) -> DataFrame:
-        """The full shingle sets (v, s) of the vertices ``wanted`` (v), from the texts."""
-        ids = self.vertices.join(merged_with(wanted), "v", "left_semi").select(F.col("least").alias("doc_id"))
-        read = map_texts(self.documents.join(merged_with(ids), "doc_id", "left_semi"), [], "v long, s array<long>", _sets(self.words)).where("v is not null")
-        return written(read.join(merged_with(wanted), "v", "left_semi").dropDuplicates(["v"]), "sets")
-
-    def merged(self, labels: DataFrame, links: DataFrame) -> DataFrame:
-        """Labels (v, label; vertices that are their own label left out) after joining the components that ``links`` connect."""
-        known = labels.select("v", "label")
-        ends = links
-        for side in ("a", "b"):
-            ends = ends.join(merged_with(known.withColumnRenamed("v", side).withColumnRenamed("label", "l")), side, "left").withColumn(side, F.coalesce("l", side)).drop("l")
-        roots = components(ends)
-        old = known.join(merged_with(roots.select(F.col("v").alias("label"), F.col("label").alias("to"))), "label", "left").select("v", F.coalesce("to", "label").alias("label"))
-        new = written(old.unionByName(roots.join(merged_with(known), "v", "left_anti")).where("v <> label"), "labels")
-        forget(labels)
-        return new
-
-    def labelled(self, nodes: DataFrame, labels: DataFrame) -> DataFrame:
-        """Nodes (key, v) with each vertex's label, without the nodes that hold a single component; with each node's size."""
-        full = nodes.join(merged_with(labels), "v", "left").select("key", "v", F.coalesce("label", "v").alias("label"))
-        mixed = full.groupBy("key").agg(F.count("*").alias("size"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key", "size")
-        return full.join(merged_with(mixed), "key")
+        self.nodes, self.candidates = Groups(Sketches, threshold, agree, SMALL), Groups(Sets, threshold, agree, GROUP_VERTICES)
+        self.tables: list[DataFrame] = []
+
+    def kept(self, df: DataFrame, name: str) -> DataFrame:
+        self.tables.append(df := written(df, name))
+        return df
 
     def run(self) -> DataFrame:
-        """doc_id, n_shingles, component_id, kept for every row."""
-        nodes = self.roots()
-        labels = written(nodes.select("v", F.col("v").alias("label")).limit(0), "labels")
-        for r in range(STAR_ROUNDS):
-            open_nodes = self.labelled(nodes, labels)
-            hubs = open_nodes.groupBy("key").agg(F.min_by(F.struct("v", "label"), F.xxhash64("v", F.lit(r))).alias("hub"))
-            pairs = open_nodes.join(merged_with(hubs), "key").where("label <> hub.label").select(F.least("v", "hub.v").alias("a"), F.greatest("v", "hub.v").alias("b")).distinct()
-            labels = self.merged(labels, self.confirmed(pairs))
-        pairs, large = self.branched(nodes, labels)
-        links = self.confirmed(pairs).unionByName(self.linked_in_blocks(large))
-        labels = self.merged(labels, links)
-        forget(nodes)
-        member = self.vertices.select("v", "least").join(merged_with(labels), "v", "left").select("v", "least", F.coalesce("label", "v").alias("label"))
-        least = member.groupBy("label").agg(F.min("least").alias("component_id"))
-        member = member.join(merged_with(least), "label").select("v", "component_id")
-        return self.rows.select("doc_id", "n_shingles", "v").join(merged_with(member), "v", "left").select("doc_id", "n_shingles", *self.report())
+        """doc_id, t (name of id and text), n_shingles, component_id, kept for every row."""
+        rows = written(map_texts(self.documents, ["doc_id", "t"], "n_shingles long, v long, keys array<long>, m binary", _sketch(self.words)), "sketches")
+        named = rows.where("v is not null and doc_id is not null")
+        self.vertices = self.kept(named.groupBy("v").agg(F.min("doc_id").alias("least"), F.first("n_shingles").alias("n"), F.first("keys").alias("keys"), F.first("m").alias("m")), "vertices")
+        labels = self.confirmed(self.candidate_groups())
+        several = labels.unionByName(labels.select(F.col("label").alias("v"), "label").distinct())
+        ids = several.join(merged_with(self.vertices.select("v", "least")), "v")
+        least = ids.groupBy("label").agg(F.min("least").alias("component_id"))
+        found = self.vertices.select("v", "least").join(merged_with(ids.select("v", "label").join(merged_with(least), "label").select("v", "component_id")), "v", "left").select("v", F.coalesce("component_id", "least").alias("component_id"))
+        found = written(rows.select("doc_id", "t", "n_shingles", "v").join(merged_with(found), "v", "left").select("doc_id", "t", "n_shingles", *self.report()), "near")
+        for table in (rows, *self.tables):
+            forget(table)
+        return found
 
     @staticmethod
     def report() -> list[Column]:
         component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
         return [component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept")]
 
-    def roots(self) -> DataFrame:
-        """The children of all trees' roots with at least two vertices: key, v."""
-        keys, coordinate = [], 0
-        for tree in range(TREES):
-            for _ in range(1 + (tree % SECOND == 0)):
-                keys.append(F.xxhash64(F.lit(tree), F.lit(coordinate), F.col("mins")[coordinate]))
-                coordinate += 1
-        dealt = self.vertices.select("v", F.explode(F.array(*keys)).alias("key"))
-        return self.shared(dealt)
-
-    @staticmethod
-    def shared(dealt: DataFrame) -> DataFrame:
-        """``dealt`` without the nodes of one vertex."""
-        several = dealt.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-        return written(dealt.join(merged_with(several), "key").select("key", "v"), "nodes")
-
-    def branched(self, nodes: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """All pairs of vertices of different components that meet in a small node, and the nodes that stay large."""
-        found = None
+    def shared(self, dealt: DataFrame) -> DataFrame:
+        """Nodes (key, v) of at least two vertices, with their size and the sketches."""
+        sizes = dealt.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+        return self.kept(dealt.join(merged_with(sizes), "key").join(merged_with(self.vertices.select("v", "n", "m")), "v").select("key", "v", "n", "m", "size"), "nodes")
+
+    def candidate_groups(self) -> DataFrame:
+        """Labels (v, label) of what candidate pairs in the trees' nodes connect; vertices that are their own label left out."""
+        level = self.shared(self.vertices.select("v", F.explode("keys").alias("key")))
+        links = self.kept(self.nodes.small(level.where(F.col("size") <= SMALL)), "links")
+        large = level.where(F.col("size") > SMALL).select("key", "v", "n", "m")
+        if large.isEmpty():
+            return self.labels(links)
+        links = self.kept(links.unionByName(self.nodes.in_blocks(large)), "links")
         for depth in range(DEPTH + 1):
-            level = written(self.labelled(nodes, labels), "level")
-            small, large = level.where(F.col("size") <= SMALL), level.where(F.col("size") > SMALL)
-            pairs = written(self.pairs_in(small).distinct(), "pairs")
-            found = pairs if found is None else found.unionByName(pairs)
-            if depth == DEPTH or not large.limit(1).count():
-                return found.distinct(), large
+            mixed = self.kept(self.nodes.mixed(large, self.labels(links)), "mixed")
+            far = F.col("outside") > SMALL if depth < DEPTH else F.lit(False)
+            # Few vertices outside the main component are compared with all others; a node with many branches.
+            links = self.kept(links.unionByName(self.nodes.rest(mixed.where(~far))), "links")
+            if mixed.where(far).isEmpty():
+                return self.labels(links)
             second = F.when(F.pmod(F.xxhash64("key", F.lit("second")), F.lit(SECOND)) == 0, self.choice("key", 1))
-            chosen = F.array_compact(F.array(self.choice("key", 0), second))
-            dealt = large.select("key", "v").join(merged_with(self.vertices.select("v", "mins")), "v").select("v", "key", "mins", F.explode(chosen).alias("c"))
-            nodes = self.shared(dealt.select("v", F.xxhash64("key", "c", F.element_at("mins", F.col("c") + 1)).alias("key")))
+            chosen = F.explode(F.array_compact(F.array(self.choice("key", 0), second)))
+            dealt = mixed.where(far).select("v", "key", "m", chosen.alias("c"))
+            level = self.shared(dealt.select("v", F.xxhash64("key", "c", F.substring("m", F.col("c") + 1, F.lit(1))).alias("key")))
+            links = self.kept(links.unionByName(self.nodes.small(level.where(F.col("size") <= SMALL))), "links")
+            large = level.where(F.col("size") > SMALL).select("key", "v", "n", "m")
 
-    def linked_in_blocks(self, large: DataFrame) -> DataFrame:
-        """Links (a, b) that connect all vertices of each node which confirmed links connect, beyond those of one component already.
+    @staticmethod
+    def choice(key: str, nth: int) -> Column:
+        return F.pmod(F.xxhash64(key, F.lit(nth)), F.lit(COORDINATES)).cast("int")
 
-        A node is dealt into blocks by vertex, and each pair of blocks is a group of bounded size.
-        """
-        weighed = large.join(merged_with(self.vertices.select("v", "n")), "v").select("key", "v", "label", "n")
-        weight = weighed.groupBy("key").agg(F.greatest(F.ceil(F.count("*") / BLOCK_VERTICES), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
-        placed = weighed.join(merged_with(weight), "key").withColumn("own", F.pmod(F.xxhash64("v"), F.col("blocks")).cast("int"))
-        dealt = placed.select("key", "v", "label", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-        dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "v", "label")
-        sets = self.sets_of(large.select("v").distinct())
-        threshold = self.threshold
+    def labels(self, links: DataFrame) -> DataFrame:
+        self.tables.append(found := components(links))
+        return found
 
-        def compare(rows):
-            import pandas as pd
+    def confirmed(self, labels: DataFrame) -> DataFrame:
+        """Labels (v, label) of what links confirmed on full sets connect within the groups that ``labels`` tells."""
+        groups = labels.unionByName(labels.select(F.col("label").alias("v"), "label").distinct()).withColumnRenamed("label", "key")
+        sized = groups.join(merged_with(self.vertices.select("v", "n", "least")), "v")
+        weight = sized.groupBy("key").agg(((F.count("*") > GROUP_VERTICES) | ((F.sum("n") > GROUP_SHINGLES) & (F.count("*") > 2))).alias("large"))
+        members = self.kept(sized.join(merged_with(weight), "key").select("key", "v", "n", "least", "large"), "members")
+        links = self.kept(self.candidates.small(self.with_sets(members.where("not large"))), "links")
+        if not members.where("large").isEmpty():
+            large = self.kept(self.with_sets(members.where("large")), "sets")
+            links = self.kept(links.unionByName(self.candidates.in_blocks(large)), "links")
+            mixed = self.kept(self.candidates.mixed(large, self.labels(links)), "large")
+            links = self.kept(links.unionByName(self.candidates.rest(mixed)), "links")
+        return self.labels(links)
 
-            a, b = forest(rows["v"].to_numpy(), rows["label"].to_numpy(), list(rows["s"]), threshold)
-            return pd.DataFrame({"a": a, "b": b})
+    def with_sets(self, members: DataFrame) -> DataFrame:
+        """key, v and full set s of the vertices ``members``; their texts are read again, once."""
+        ids = bounded_right(members.select(F.col("least").alias("doc_id")))
+        read = map_texts(self.documents.join(ids, "doc_id", "left_semi"), [], "v long, s array<long>", _sets(self.words)).where("v is not null").dropDuplicates(["v"])
+        return read.join(merged_with(members.select("v", "key")), "v").select("key", "v", "s")
 
-        links = dealt.join(merged_with(sets), "v").groupBy("key", "i", "j").applyInPandas(compare, "a long, b long")
-        return written(links.distinct(), "links")
 
-    @staticmethod
-    def choice(key: str, nth: int) -> Column:
-        return F.pmod(F.xxhash64(key, F.lit(nth)), F.lit(COORDINATES)).cast("int")
+def _found(documents: DataFrame, id_col: str, text_col: str, words: int, threshold: int, agree: int) -> DataFrame:
+    doc_id, text = F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text")
+    return Join(documents.select(doc_id, text, _row_name(id_col, text_col).alias("t")), words, threshold, agree).run()
 
-    def pairs_in(self, nodes: DataFrame) -> DataFrame:
-        """Pairs of one node and different components whose sizes allow a link."""
-        sized = nodes.join(merged_with(self.vertices.select("v", "n")), "v")
-        a = sized.select("key", F.col("v").alias("a"), F.col("label").alias("la"), F.col("n").alias("na"))
-        b = sized.select("key", F.col("v").alias("b"), F.col("label").alias("lb"), F.col("n").alias("nb"))
-        return a.join(merged_with(b), "key").where((F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & (100 * F.least("na", "nb") >= self.threshold * F.greatest("na", "nb"))).select("a", "b")
 
+def _row_name(id_col: str, text_col: str) -> Column:
+    return F.xxhash64(F.col(f"`{id_col}`").cast("long"), F.col(f"`{text_col}`"))
 
-def forest(names: np.ndarray, labels: np.ndarray, sets: list[np.ndarray], threshold: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links that connect what the confirmed links among a group's sets connect, given that equal labels are connected.
 
-    Shared shingles of all pairs are counted by products of incidence matrices, a slice of the shingles at a time.
-    """
-    n = len(names)
-    size = np.array([len(s) for s in sets])
-    of = np.repeat(np.arange(n), size)
-    order = np.argsort(values := np.concatenate(sets), kind="stable")
-    values, of = values[order], of[order]
-    fresh = np.append(True, values[1:] != values[:-1])
-    column = np.cumsum(fresh) - 1
-    several = np.bincount(column)[column] > 1
-    of, column = of[several], np.unique(column[several], return_inverse=True)[1]
-    shared = np.zeros((n, n), dtype=np.float32)
-    step = 2048
-    edges = np.searchsorted(column, np.arange(0, int(column.max()) + 1 + step, step)) if len(column) else []
-    for lo, hi in zip(edges[:-1], edges[1:], strict=True):
-        slab = np.zeros((n, step), dtype=np.float32)
-        slab[of[lo:hi], column[lo:hi] % step] = 1
-        shared += slab @ slab.T
-    near = 100 * shared.astype(np.float64) >= threshold * (size[:, None] + size[None, :] - shared)
-    a, b = np.nonzero(np.triu(near & (labels[:, None] != labels[None, :]), 1))
-    root = np.unique(labels, return_inverse=True)[1]
-    kept_a, kept_b = [], []
-    for x, y in zip(a.tolist(), b.tolist(), strict=True):
-        if root[x] != root[y]:
-            kept_a.append(x)
-            kept_b.append(y)
-            root[root == root[y]] = root[x]
-    return names[kept_a], names[kept_b]
-
-
-def near_duplicates(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, threshold: int = THRESHOLD) -> DataFrame:
+def near_duplicates(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, threshold: int = THRESHOLD, agree: int = AGREE) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for each row of ``documents``.
 
     A document's set holds its distinct ``words``-word shingles; a shorter text, but not none, is its whole sequence.
-    Documents are linked when 100 * shared >= ``threshold`` * all; a component's id is its smallest doc_id, and that
-    document is kept.
+    Documents are linked when 100 * shared >= ``threshold`` * all, so a pair at the threshold itself is linked; a
+    component's id is its smallest doc_id, and that document is kept. With ``agree`` 0 sketches rule out nothing, and all
+    that share a node are compared on full sets.
 
-    Null and empty texts have empty sets, are linked with nothing and are kept. Rows with a null doc_id are linked with
-    nothing, get a null component and are kept. Repeated rows share a component; with one doc_id, all of them are kept.
-    An empty table gives no rows. Other columns play no part.
+    Null and empty texts have empty sets, are linked with nothing and are kept. Texts are taken whole, however long. Rows
+    with a null doc_id are linked with nothing, get a null component and are kept. Repeated rows share a component; with
+    one doc_id, all of them are kept. An empty table gives no rows. Other columns play no part.
     """
-    return Join(documents.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text")), words, threshold).run()
+    return _found(documents, id_col, text_col, words, threshold, agree).drop("t")
+
 
+def drop_near_duplicates(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, threshold: int = THRESHOLD, agree: int = AGREE) -> DataFrame:
+    """``documents`` with one document of each component; all columns as they are.
 
-def drop_near_duplicates(documents: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
-    """``documents`` with one document of each component; all columns as they are. Rows with a null id stay."""
-    gone = near_duplicates(documents, id_col=id_col, **options).where("not kept").select(F.col("doc_id").alias("__gone")).distinct()
-    return documents.join(merged_with(gone), documents[id_col] == F.col("__gone"), "left_anti")
+    Rows go by their id and text, so another text under the same id stays. Rows with a null id stay.
+    """
+    name = free_name("name", documents.columns)
+    gone = _found(documents, id_col, text_col, words, threshold, agree).where("not kept").select(F.col("t").alias(name)).distinct()
+    return documents.join(bounded_right(gone), _row_name(id_col, text_col) == F.col(name), "left_anti")
 
 
 def op9_near_duplicates(spark, sf_dir: str) -> DataFrame:

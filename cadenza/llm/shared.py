@@ -4,10 +4,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from typing import TYPE_CHECKING
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+if TYPE_CHECKING:
+    import pyarrow as pa
+
 
 def scratch_root(spark: SparkSession) -> str:
     """The folder that driver and executors share.
@@ -50,6 +55,56 @@ def merged_with(df: DataFrame) -> DataFrame:
     return df.hint("merge")
 
 
+#: Rows of one 64-bit column that are broadcast at most: some 32 MB as a hash table.
+BROADCAST_IDS = 1_000_000
+
+
+def bounded_right(ids: DataFrame) -> DataFrame:
+    """``ids`` (one 64-bit column) as the right side of a semi or anti join: broadcast if they are counted to be few enough, else merged."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else merged_with(ids)
+
+
+def free_name(name: str, taken: list[str]) -> str:
+    """``name``, with underscores after it while a column has that name (in any case of letters)."""
+    have = {t.lower() for t in taken}
+    while name.lower() in have:
+        name += "_"
+    return name
+
+
+#: Bytes of whole groups that are handed on at once.
+_GROUP_BYTES = 1 << 20
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
+    """Tables of whole groups from batches sorted by their first ``keys`` columns (integers); a table ends where a group does."""
+    import numpy as np
+    import pyarrow as pa
+
+    held: list[pa.RecordBatch] = []
+    size, last = 0, None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key = np.stack([batch.column(k).to_numpy().astype(np.int64) for k in range(keys)])
+        edges = np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1
+        if last is not None and (key[:, 0] != last).any():
+            edges = np.append(0, edges)
+        begin = 0
+        if len(edges) and size + batch.nbytes >= _GROUP_BYTES:
+            # Large batches end a table at every so many rows, so that no table is much larger than the bound.
+            step = max(1, int(batch.num_rows * _GROUP_BYTES / max(batch.nbytes, 1)))
+            for at in edges[np.unique(np.minimum(np.searchsorted(edges, np.arange(0, batch.num_rows + step, step)), len(edges) - 1))].tolist():
+                if held or at > begin:
+                    yield pa.Table.from_batches([*held, *([batch.slice(begin, at - begin)] if at > begin else [])])
+                held, size, begin = [], 0, at
+        held.append(batch.slice(begin))
+        size += held[-1].nbytes
+        last = key[:, -1]
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def fold_of(doc_id: str | Column, folds: int) -> Column:
     """``crc32(doc_id as text) mod folds``: the fold a document belongs to."""
     return F.crc32(F.col(doc_id).cast("string") if isinstance(doc_id, str) else doc_id.cast("string")) % folds
@@ -60,20 +115,17 @@ def bounded_ids(ids: DataFrame, limit: int) -> DataFrame:
     return F.broadcast(ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit))
 
 
-#: Name of the text among a map's input columns; user columns are found by place, so theirs may be the same.
-_TEXT = "__text__"
-
-
 def map_texts(df: DataFrame, keep: list[str], made: str, fn, text_col: str = "text", limit: int | None = None) -> DataFrame:
     """Arrow-batched map over texts: ``keep`` columns unchanged, then the columns of DDL ``made`` as ``fn(texts, rows)`` gives them.
 
-    ``fn`` gets a block of texts and the record batch of its rows and returns a list or array for each made column.
+    ``fn`` gets a block of texts and the record batch of its rows, the text last, and returns a list or array for each
+    made column.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
     kept = [F.col(f"`{k}`") for k in keep]
-    source = df.select(*kept, F.col(f"`{text_col}`").alias(_TEXT))
+    source = df.select(*kept, F.col(f"`{text_col}`").alias(free_name("text", keep)))
     out = StructType([*df.select(*kept).schema.fields, *StructType.fromDDL(made).fields])
     schema = to_arrow_schema(out)
 
@@ -83,7 +135,7 @@ def map_texts(df: DataFrame, keep: list[str], made: str, fn, text_col: str = "te
         from .textkernels import BLOCK_BYTES, blocks
 
         for batch in batches:
-            for first, last, texts in blocks(batch, _TEXT, limit=limit or BLOCK_BYTES):
+            for first, last, texts in blocks(batch, len(keep), limit=limit or BLOCK_BYTES):
                 rows = batch.slice(first, last - first)
                 columns = [rows.column(i) for i in range(len(keep))] + [pa.array(x) if not isinstance(x, pa.Array) else x for x in fn(texts, rows)]
                 yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)

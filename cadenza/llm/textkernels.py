@@ -104,7 +104,7 @@ class Texts:
         return out
 
 
-def blocks(batch: pa.RecordBatch, column: str = "text", limit: int = BLOCK_BYTES) -> Iterator[tuple[int, int, Texts]]:
+def blocks(batch: pa.RecordBatch, column: str | int = "text", limit: int = BLOCK_BYTES) -> Iterator[tuple[int, int, Texts]]:
     """The batch's texts in runs of about ``limit`` bytes: first row, row after the last, texts. Null is an empty text."""
     arr = batch.column(column)
     if isinstance(arr, pa.ChunkedArray):
