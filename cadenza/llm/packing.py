@@ -13,6 +13,7 @@ import os
 import re
 import unicodedata
 import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -45,6 +46,9 @@ def _latin(kind: str) -> str:
 
 #: The pre-token pattern of the tokenizer file, as it reads for characters below U+0180.
 _PRE_TOKENS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_latin('L')}]+|[{_latin('N')}]|[^\s\x85{_latin('L')}{_latin('N')}]+")
+_SPACE = re.compile(r"\s")
+#: Characters whose pre-tokens are held at once, about.
+SLICE_CHARS = 1 << 18
 #: Pre-tokens in one call of the tokenizer.
 _AT_ONCE = 512
 
@@ -64,6 +68,10 @@ class WordTokenizer:
         """The ids of each text as little-endian unsigned 32-bit integers."""
         if len(self.known) > CACHE_ENTRIES:
             self.known.clear()
+        whole, texts = len(texts), list(texts)
+        owner = list(range(whole))
+        if any(len(t) > SLICE_CHARS for t in texts):
+            owner, texts = zip(*((i, part) for i, t in enumerate(texts) for part in self._slices(t)), strict=True)
         parts = [None if "<|" in t or _HAS_CONTROL.search(t) or not t.isascii() and _HAS_OTHER.search(t) else _PRE_TOKENS.findall(t.lower()) for t in texts]
         new = list(set().union(*filter(None, parts)).difference(self.known))
         self.known.update(zip(new, self._joined(new), strict=True))
@@ -72,7 +80,24 @@ class WordTokenizer:
         for x in new:
             if len(x) > CACHE_CHARS:
                 del self.known[x]
-        return out
+        if whole == len(out):
+            return out
+        joined: list[list[bytes]] = [[] for _ in range(whole)]
+        for i, ids in zip(owner, out, strict=True):
+            joined[i].append(ids)
+        return [b"".join(x) for x in joined]
+
+    @staticmethod
+    def _slices(text: str) -> Iterator[str]:
+        """A text cut before white space, so that its pre-tokens need not all be held at once. Texts that go to the tokenizer whole are not cut."""
+        if len(text) <= SLICE_CHARS or "<|" in text or _HAS_CONTROL.search(text) or _HAS_OTHER.search(text):
+            yield text
+            return
+        begin = 0
+        while begin < len(text):
+            end = _SPACE.search(text, begin + SLICE_CHARS)
+            yield text[begin : end.start() if end else len(text)]
+            begin = end.start() if end else len(text)
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
@@ -208,9 +233,12 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> Plan:
 
 
 def ranked(cut: DataFrame, total: int) -> DataFrame:
-    """``cut`` with each piece's rank (from 0) among the pieces of its length, without gathering a length in one task."""
+    """``cut`` (a written table) with each piece's rank (from 0) among the pieces of its length, without gathering a length in one task.
+
+    Its partition deals a piece too, so that many rows of one id (or none) don't meet either.
+    """
     buckets = max(1, total // RANKED_TOGETHER)
-    dealt = cut.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets)))
+    dealt = cut.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", F.spark_partition_id()), F.lit(buckets)))
     sizes = dealt.groupBy("length", "bucket").agg(F.count("*").alias("size"))
     before = sizes.select("length", "bucket", (F.sum("size").over(Window.partitionBy("length").orderBy("bucket")) - F.col("size")).alias("before"))
     place = F.row_number().over(Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "start", "ids_crc32")) - 1

@@ -84,12 +84,15 @@ class Texts:
         ends = np.flatnonzero(inside & ~after[1:]) + 1
         return starts, ends, np.diff(np.searchsorted(starts, self.offsets))
 
+    def _values(self, which: int) -> np.ndarray:
+        return _BYTES[which][self.data]
+
     def hashes(self, starts: np.ndarray, ends: np.ndarray, which: int = 0) -> np.ndarray:
         """A 64-bit hash of each byte range; equal bytes have equal hashes wherever they stand. ``which``: of two independent ones."""
         n = len(self.data)
         if which not in self._sums:
             sums = self._sums[which] = np.zeros(n + 1, dtype=U)
-            np.cumsum(_BYTES[which][self.data] * powers(_BASES[which], n)[:n], out=sums[1:])
+            np.cumsum(self._values(which) * powers(_BASES[which], n)[:n], out=sums[1:])
         sums = self._sums[which]
         raw = (sums[ends] - sums[starts]) * powers(_INVERSES[which], n)[starts]
         return mix(raw + (ends - starts).astype(U) * U(0xA24BAED4963EE407))
@@ -104,6 +107,32 @@ class Texts:
         return out
 
 
+class WordTexts(Texts):
+    """The same for words: one array of 64-bit word hashes (white space separates words and plays no other part)."""
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray):
+        super().__init__(data.view(U), offsets)
+
+    @staticmethod
+    def of(texts: Texts) -> WordTexts:
+        starts, ends, counts = texts.words(SPACED)
+        return WordTexts(texts.hashes(starts, ends), np.append(0, np.cumsum(counts)))
+
+    def _values(self, which: int) -> np.ndarray:
+        return mix(self.data + U((0x9FB21C651E98DF25, 0xD6E8FEB86659FD93)[which]))
+
+
+def windowed_min(values: np.ndarray, span: int) -> np.ndarray:
+    """The least of each ``span`` consecutive values, by the least of two runs that end and begin inside it."""
+    n = len(values) - span + 1
+    padded = np.full(-(-len(values) // span) * span, ~U(0))
+    padded[: len(values)] = values
+    rows = padded.reshape(-1, span)
+    before = np.minimum.accumulate(rows, axis=1).ravel()
+    after = np.minimum.accumulate(rows[:, ::-1], axis=1)[:, ::-1].ravel()
+    return np.minimum(after[:n], before[span - 1 : span - 1 + n])
+
+
 def blocks(batch: pa.RecordBatch, column: str | int = "text", limit: int = BLOCK_BYTES) -> Iterator[tuple[int, int, Texts]]:
     """The batch's texts in runs of about ``limit`` bytes: first row, row after the last, texts. Null is an empty text."""
     arr = batch.column(column)
