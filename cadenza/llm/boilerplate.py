@@ -11,12 +11,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import merged_with
+from .shared import merged_with, written
 
 #: A line on more than this share of a host's pages is boilerplate ...
 MAX_RATIO = 0.05
 #: ... if at least so many of the host's pages have it.
 MIN_PAGES = 4
+#: Boilerplate lines of all hosts that are broadcast at most: 16 bytes each.
+BROADCAST_LINES = 500_000
 
 
 def page_lines(html: Column) -> Column:
@@ -47,46 +49,44 @@ def _line_keys() -> Column:
 
 
 def boilerplate(pages: DataFrame, max_ratio: float, min_pages: int) -> DataFrame:
-    """``pages`` has columns __host and __lines, or __host, __keys (names of lines) and __copy. Returns one row for each host that has boilerplate: __host, __drop (names of its lines).
-
-    Without __copy each row is a page; with it, all rows of a host that share its value are one page.
-    """
-    copied = "__copy" in pages.columns
-    page = ["__host", "__copy"] if copied else ["__host"]
-    lines, hosts = pages.select(*page, F.explode("__keys" if copied else _line_keys()).alias("k")), pages.select(*page)
-    if copied:
-        lines, hosts = lines.distinct(), hosts.distinct()
-    counted = lines.groupBy("__host", "k").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
-    totals = hosts.groupBy("__host").agg(F.count("*").alias("total"))
+    """``pages`` has columns __host and __keys (names of lines). Returns one row for each host that has boilerplate: __host, __drop (names of its lines)."""
+    counted = pages.select("__host", F.explode("__keys").alias("k")).groupBy("__host", "k").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
+    totals = pages.groupBy("__host").agg(F.count("*").alias("total"))
     return counted.join(totals, "__host").where(F.col("n") > max_ratio * F.col("total")).groupBy("__host").agg(F.collect_list("k").alias("__drop"))
 
 
-def drop_boilerplate(pages: DataFrame, *, host: Column, text_col: str, max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES, count_col: str | None = None, copies: DataFrame | None = None, id_col: str = "doc_id") -> DataFrame:
+def drop_boilerplate(pages: DataFrame, *, host: Column, text_col: str, max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES, count_col: str | None = None, distinct_texts: bool = False, max_loss: float = 1.0) -> DataFrame:
     """``pages`` with the boilerplate lines of each host taken out of ``text_col``; ``count_col``, if given, gets the number of lines dropped.
 
     Lines are what stands between newlines; two are equal if all their characters are. Empty lines are never
     boilerplate. A line counts once for each page row that has it, however often; repeated rows count as pages. A ratio
     equal to the limit keeps the line. Null and empty hosts are one host; null text stays null, and counts as a page
-    without lines. With ``copies`` (``id_col``, copy; each id once) the rows of one copy are one page of a host, whatever
-    lines they have between them, and so are rows of equal text whose id has no copy; all of them are still cut. All
-    other columns stay; names that begin with two underscores are the operator's own.
+    without lines. Texts are taken whole, however long. All other columns stay, whatever their names; one named as
+    ``count_col`` is replaced.
+
+    What copies of one page share is its text, not boilerplate. With ``distinct_texts`` equal texts of a host count as
+    one page. A page that would lose more than the share ``max_loss`` of its characters, line breaks apart, stays whole:
+    it is a copy, perhaps an edited one, of other pages.
     """
     text = F.col(f"`{text_col}`")
-    dealt = pages.withColumn("__host", F.coalesce(host, F.lit(""))).withColumn("__lines", F.split(text, "\n", -1))
-    counted = dealt.select("__host", "__lines")
-    if copies is not None:
-        # Only names of lines and texts are shuffled here.
-        named = dealt.select(F.col(f"`{id_col}`").alias("__id"), "__host", _line_keys().alias("__keys"), _key(text).alias("__text"))
-        of = copies.select(F.col(f"`{id_col}`").alias("__id"), F.struct(F.col("copy").cast("long").alias("a"), F.lit(0).cast("long").alias("b")).alias("__of"))
-        counted = named.join(merged_with(of), "__id", "left").select("__host", "__keys", F.coalesce("__of", "__text").alias("__copy"))
-    known = boilerplate(counted, max_ratio, min_pages)
-    joined = dealt.join(known, "__host", "left")
+    dealt = pages.select(F.struct(*[F.col(f"`{c}`") for c in pages.columns]).alias("row"), F.coalesce(host, F.lit("")).alias("__host"), F.split(text, "\n", -1).alias("__lines"), text.alias("__text"))
+    counted = dealt.select("__host", _line_keys().alias("__keys"), *([_key(F.col("__text")).alias("__text")] if distinct_texts else []))
+    if distinct_texts:  # only names of lines and texts are shuffled
+        counted = counted.groupBy("__host", "__text").agg(F.first("__keys").alias("__keys"))
+    known = written(boilerplate(counted, max_ratio, min_pages), "boilerplate")
+    # Few enough lines go to the pages; beyond that, pages go to their host's lines, and Spark splits a host of many pages.
+    few = (known.agg(F.sum(F.size("__drop") + 1).alias("n")).first()["n"] or 0) <= BROADCAST_LINES
+    joined = dealt.join(F.broadcast(known) if few else merged_with(known), "__host", "left")
     here = F.array_intersect(F.transform("__lines", _key), F.col("__drop"))
     left = _let(here, lambda gone: F.when(F.size(gone) > 0, F.filter("__lines", lambda x: (x == "") | ~F.array_contains(gone, _key(x)))).otherwise(F.col("__lines")))
-    out = joined.withColumn("__left", F.when(F.col("__drop").isNull() | F.col("__lines").isNull(), F.col("__lines")).otherwise(left))
-    if count_col:
-        out = out.withColumn(count_col, F.coalesce(F.size("__lines") - F.size("__left"), F.lit(0)).cast("long"))
-    return out.withColumn(text_col, F.when(text.isNotNull(), F.array_join("__left", "\n"))).drop("__host", "__lines", "__drop", "__left").select(*[f"`{c}`" for c in pages.columns], *([count_col] if count_col else []))
+    cut = F.when(F.col("__drop").isNull() | F.col("__lines").isNull(), F.col("__lines")).otherwise(left)
+    if max_loss < 1:
+        size = lambda lines: F.length(F.array_join(lines, ""))
+        cut = _let(cut, lambda x: F.when(size("__lines") - size(x) > max_loss * size("__lines"), F.col("__lines")).otherwise(x))
+    out = joined.withColumn("__left", cut)
+    columns = [F.when(F.col("__text").isNotNull(), F.array_join("__left", "\n")).alias(c) if c == text_col else F.col("row")[c].alias(c) for c in pages.columns if c != count_col]
+    count = [F.coalesce(F.size("__lines") - F.size("__left"), F.lit(0)).cast("long").alias(count_col)] if count_col else []
+    return out.select(*columns, *count)
 
 
 def op7_line_dedup(spark, sf_dir: str) -> DataFrame:

@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import free_name, map_texts, written
 from .textkernels import ALNUM, Texts, U, blocks, doc_of, mix
 
 WINDOW = 10
@@ -41,7 +42,7 @@ class BenchmarkIndex:
         keep = end - at >= need
         self.at, self.need, self.item, self.end = at[keep], need[keep], doc[keep], end[keep]
         self.seed = int(min(SEED, self.need.min())) if len(self.at) else 0
-        self.seeds = np.unique(seed_hashes(words, self.at, self.seed)) if self.seed else np.zeros(0, dtype=U)
+        self.seeds, self.seed_of = np.unique(seed_hashes(words, self.at, self.seed), return_inverse=True) if self.seed else (np.zeros(0, dtype=U), np.zeros(0, dtype=np.int64))
 
 
 def word_hashes(texts: Texts) -> tuple[np.ndarray, np.ndarray]:
@@ -68,17 +69,18 @@ def padded(words: np.ndarray, end: np.ndarray, at: np.ndarray, j: int) -> np.nda
     return np.where(inside, words[np.minimum(at + j, len(words) - 1)], U(0))
 
 
-def search(words: np.ndarray, end: np.ndarray, array: np.ndarray, index: BenchmarkIndex, upper: bool) -> np.ndarray:
-    """For every benchmark suffix the first place in ``array`` whose suffix is not below it (or, ``upper``, above it) on its required words."""
-    lo, hi = np.zeros(len(index.at), dtype=np.int64), np.full(len(index.at), len(array), dtype=np.int64)
+def search(words: np.ndarray, end: np.ndarray, array: np.ndarray, index: BenchmarkIndex, suffix: np.ndarray, upper: bool) -> np.ndarray:
+    """For each benchmark suffix of ``suffix`` the first place in ``array`` whose suffix is not below it (or, ``upper``, above it) on its required words."""
+    begin, need = index.at[suffix], index.need[suffix]
+    lo, hi = np.zeros(len(suffix), dtype=np.int64), np.full(len(suffix), len(array), dtype=np.int64)
     while (lo < hi).any():
         mid = (lo + hi) // 2
         at = array[np.minimum(mid, len(array) - 1)]
         below, level = np.zeros(len(mid), dtype=bool), np.ones(len(mid), dtype=bool)
         for j in range(index.window):
-            used = level & (j < index.need)
+            used = level & (j < need)
             there = padded(words, end, at, j)
-            mine = index.words[np.minimum(index.at + j, len(index.words) - 1)]
+            mine = index.words[np.minimum(begin + j, len(index.words) - 1)]
             below |= used & (there < mine)
             level &= ~used | (there == mine)
         right = (below | (level & upper)) & (lo < hi)
@@ -95,12 +97,16 @@ def matches(words: np.ndarray, counts: np.ndarray, index: BenchmarkIndex) -> tup
     at = np.flatnonzero(end - np.arange(len(words)) >= index.seed)
     hashes = seed_hashes(words, at, index.seed)
     place = np.minimum(np.searchsorted(index.seeds, hashes), len(index.seeds) - 1)
-    array = suffix_array(words, end, at[index.seeds[place] == hashes], index.window)
-    lo, hi = search(words, end, array, index, False), search(words, end, array, index, True)
+    known = index.seeds[place] == hashes
+    array = suffix_array(words, end, at[known], index.window)
+    # A suffix whose first words are not in the shard has no place in it.
+    here = np.zeros(len(index.seeds), dtype=bool)
+    here[place[known]] = True
+    sought = np.flatnonzero(here[index.seed_of])
+    lo, hi = search(words, end, array, index, sought, False), search(words, end, array, index, sought, True)
     n = hi - lo
-    suffix = np.repeat(np.arange(len(n)), n)
-    nth = np.arange(len(suffix)) - np.repeat(np.cumsum(n) - n, n)
-    return array[lo[suffix] + nth], suffix
+    nth = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+    return array[np.repeat(lo, n) + nth], np.repeat(sought, n)
 
 
 def longest(words: np.ndarray, counts: np.ndarray, index: BenchmarkIndex, at: np.ndarray, suffix: np.ndarray) -> np.ndarray:
@@ -157,28 +163,48 @@ def _spans(shared):
     return run
 
 
-def _digest(shared):
-    """As _spans, but hits counted at once: what the contract's report needs when there is one block."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("n_items", pa.int64()), ("items_sha256", pa.string()), ("contaminated", pa.bool_())])
+def _covered(words: np.ndarray, counts: np.ndarray, index: BenchmarkIndex) -> tuple[np.ndarray, list[set]]:
+    """Which words the longest matches cover, and each text's items."""
+    at, suffix = matches(words, counts, index)
+    # All windows inside a longest match are matches too, so it covers what they cover.
+    length = longest(words, counts, index, at, suffix)
+    cover = np.zeros(len(words) + 1, dtype=np.int64)
+    np.add.at(cover, at, 1)
+    np.add.at(cover, at + length, -1)
+    found: list[set] = [set() for _ in counts]
+    doc = doc_of(counts)
+    for d, item in zip(doc[at].tolist() if len(at) else [], index.ids[index.item[suffix]].tolist(), strict=True):
+        found[d].add(item)
+    return np.cumsum(cover[:-1]) > 0, found
+
+
+PASS = "doc_id long, text string, hit binary, items array<string>"
+REPORT = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
+
+
+def _pass(shared, last: bool):
+    """One benchmark block over rows of PASS: its hit words and items join those of earlier blocks. The last pass reports."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = shared.value
         for batch in batches:
-            for first, last, texts in blocks(batch):
+            for first, end, texts in blocks(batch, 1):
                 words, counts = word_hashes(texts)
-                at, suffix = matches(words, counts, index)
-                cover = np.zeros(len(words) + 1, dtype=np.int64)
-                np.add.at(cover, at, 1)
-                np.add.at(cover, at + index.need[suffix], -1)
-                total = np.concatenate(([0], np.cumsum(np.cumsum(cover[:-1]) > 0)))
-                ends = np.cumsum(counts)
-                n_hit = total[ends] - total[ends - counts]
-                found: list[set] = [set() for _ in counts]
-                doc = doc_of(counts)
-                for d, item in zip(doc[at].tolist() if len(at) else [], index.ids[index.item[suffix]].tolist(), strict=True):
-                    found[d].add(item)
-                shas = [hashlib.sha256(",".join(sorted(x)).encode()).hexdigest() for x in found]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first).cast(pa.int64()), pa.array(counts.astype(np.int64)), pa.array(n_hit.astype(np.int64)), pa.array([len(x) for x in found], type=pa.int64()), pa.array(shas, type=pa.string()), pa.array(n_hit > 0)], schema=schema)
+                hit, items = _covered(words, counts, index)
+                cuts = np.append(0, np.cumsum(counts))
+                rows = batch.slice(first, end - first)
+                for d, (bits, names) in enumerate(zip(rows.column(2).to_pylist(), rows.column(3).to_pylist(), strict=True)):
+                    if names:
+                        hit[cuts[d] : cuts[d + 1]] |= np.unpackbits(np.frombuffer(bits, dtype=np.uint8), count=int(counts[d])).astype(bool)
+                        items[d].update(names)
+                if not last:
+                    bits = [np.packbits(hit[a:b]).tobytes() if i else None for a, b, i in zip(cuts[:-1].tolist(), cuts[1:].tolist(), items, strict=True)]
+                    yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(bits, type=pa.binary()), pa.array([sorted(x) for x in items], type=pa.list_(pa.string()))], names=["doc_id", "text", "hit", "items"])
+                    continue
+                total = np.concatenate(([0], np.cumsum(hit)))
+                n_hit = (total[cuts[1:]] - total[cuts[:-1]]).astype(np.int64)
+                shas = [hashlib.sha256(",".join(sorted(x)).encode()).hexdigest() for x in items]
+                yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(counts.astype(np.int64)), pa.array(n_hit), pa.array([len(x) for x in items], type=pa.int64()), pa.array(shas, type=pa.string()), pa.array(n_hit > 0)], names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
 
     return run
 
@@ -190,53 +216,45 @@ def contamination(documents: DataFrame, benchmark: DataFrame, *, id_col: str = "
     fewer words, but not none, is one window. A document word inside any occurrence of a window counts as hit.
 
     Null or empty text, in documents or benchmark, has no words: such a document is not contaminated and such an item
-    never occurs. A null id is kept as null. Repeated rows are judged each by itself. An empty benchmark marks nothing.
-    Two items with the same id count once. Other columns of either table, whatever their names, play no part.
+    never occurs. Texts are taken whole, however long. A null id is kept as null. Repeated rows are judged each by
+    itself. An empty benchmark marks nothing. Two items with the same id count once. Other columns of either table,
+    whatever their names, play no part.
+
+    A benchmark of more than ``block_bytes`` takes a pass for each block. Only one block is held at a time; between
+    passes the rows are written with what was found so far.
+    """
+    rows = documents.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"), F.lit(None).cast("binary").alias("hit"), F.array().cast("array<string>").alias("items"))
+    sc, shared = rows.sparkSession.sparkContext, None
+    for index in benchmark_blocks(benchmark, item_col, item_text_col, window, block_bytes):
+        if shared is not None:
+            rows = written(rows.mapInArrow(_pass(shared, False), PASS), "hits")
+            shared.unpersist()
+        shared = sc.broadcast(index)
+    return rows.mapInArrow(_pass(shared, True), REPORT)
+
+
+def drop_contaminated(documents: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BENCHMARK_BYTES) -> DataFrame:
+    """``documents`` without the rows whose text holds a benchmark window; all columns as they are.
+
+    Each row is judged by its own text, so ids may be null or repeated. A pass for each benchmark block, as in :func:`contamination`.
     """
-    docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    sc = docs.sparkSession.sparkContext
-    # Each block goes to a broadcast file before the next is fetched.
-    shared = [sc.broadcast(index) for index in benchmark_blocks(benchmark, item_col, item_text_col, window, block_bytes)]
-    if len(shared) == 1:
-        return docs.mapInArrow(_digest(shared[0]), "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
-    rows = docs.withColumn("row", F.monotonically_increasing_id())
-    return _several(rows, shared)
-
-
-def _several(rows: DataFrame, shared: list) -> DataFrame:
-    """The report when the benchmark takes several passes: hit words are joined as sets by row."""
-
-    def one(index):
-        def run(batches):
-            schema = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("n_words", pa.int64()), ("hit", pa.list_(pa.int64())), ("items", pa.list_(pa.string()))])
-            own = index.value
-            for batch in batches:
-                for first, last, texts in blocks(batch):
-                    words, counts = word_hashes(texts)
-                    at, suffix = matches(words, counts, own)
-                    doc, begin = doc_of(counts), np.cumsum(counts) - counts
-                    hit: list[set] = [set() for _ in counts]
-                    items: list[set] = [set() for _ in counts]
-                    for p, s in zip(at.tolist(), suffix.tolist(), strict=True):
-                        d = int(doc[p])
-                        hit[d].update(range(p - int(begin[d]), p - int(begin[d]) + int(own.need[s])))
-                        items[d].add(own.ids[own.item[s]])
-                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), batch.column(2).slice(first, last - first), pa.array(counts.astype(np.int64)), pa.array([sorted(x) for x in hit], type=pa.list_(pa.int64())), pa.array([sorted(x) for x in items], type=pa.list_(pa.string()))], schema=schema)
-
-        return run
-
-    out = None
-    for x in shared:
-        part = rows.select("doc_id", "text", "row").mapInArrow(one(x), "doc_id long, row long, n_words long, hit array<long>, items array<string>")
-        out = part if out is None else out.unionByName(part)
-    merged = out.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.array_distinct(F.flatten(F.collect_list("hit"))).alias("hit"), F.sort_array(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-    return merged.select("doc_id", "n_words", F.size("hit").cast("long").alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.size("hit") > 0).alias("contaminated"))
-
-
-def drop_contaminated(documents: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
-    """``documents`` without those that hold a benchmark window. A row whose id is null is kept unless its id's report says otherwise."""
-    bad = contamination(documents, benchmark, id_col=id_col, **options).where("contaminated").select(F.col("doc_id").alias("__bad_id")).distinct()
-    return documents.join(bad, documents[id_col].eqNullSafe(F.col("__bad_id")), "left_anti")
+    sc, shared = documents.sparkSession.sparkContext, None
+    name = free_name("clean", documents.columns)
+
+    def clean(rows: DataFrame, index) -> DataFrame:
+        def run(texts: Texts, _rows) -> list:
+            words, counts = word_hashes(texts)
+            at, _ = matches(words, counts, index.value)
+            return [np.bincount(doc_of(counts)[at], minlength=texts.n) == 0 if len(at) else np.ones(texts.n, dtype=bool)]
+
+        return map_texts(rows, rows.columns, f"`{name}` boolean", run, text_col=text_col).where(F.col(name)).drop(name)
+
+    for index in benchmark_blocks(benchmark, item_col, item_text_col, window, block_bytes):
+        if shared is not None:
+            documents = written(clean(documents, shared), "clean")
+            shared.unpersist()
+        shared = sc.broadcast(index)
+    return clean(documents, shared)
 
 
 def op6_decontamination(spark, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import bounded_ids, fold_of, map_texts
+from .shared import bounded_ids, fold_of, free_name, map_texts, written
 from .textkernels import ALNUM, Texts, U, doc_of, in_doc, mix
 
 #: Documents whose fold is 0 of so many are held out.
@@ -200,6 +200,7 @@ def learn(documents: DataFrame, labels: DataFrame, *, folds: int = FOLDS, max_la
     """A model from at most ``max_labelled`` labelled documents whose fold isn't 0."""
     marked = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where(fold_of("doc_id", folds) != 0)
     sample = documents.select("doc_id", "text").join(bounded_ids(marked, max_labelled), "doc_id").groupBy("text").agg((F.max("toxic") == 1).alias("toxic"))
+    sample = written(sample, "sample")  # read three times
     model = _learn_words(sample)
     if not len(model.hashes):
         return model
@@ -248,9 +249,7 @@ def drop_toxic(documents: DataFrame, labels: DataFrame, **options) -> DataFrame:
         counts, found, _ = segments_of(texts, shared.value)
         return [[probability(evidence(n, [s for s, _, _ in f], shared.value), shared.value) < 0.5 for n, f in zip(counts.tolist(), found, strict=True)]]
 
-    name = "__kept"
-    while name in documents.columns:
-        name += "_"
+    name = free_name("kept", documents.columns)
     return map_texts(documents, documents.columns, f"`{name}` boolean", run).where(F.col(name)).drop(name)
 
 

@@ -6,6 +6,7 @@ import re
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from cadenza.llm import components, decontamination, near_duplicates, repeats
 
@@ -42,7 +43,10 @@ def test_contamination(spark, odd, docs, block):
     for table in (docs, odd):
         want = sorted(map(repr, contaminated([(r.doc_id, r.text) for r in table.collect()], items)))
         assert sorted(repr(tuple(r)) for r in decontamination.contamination(table, benchmark, block_bytes=block).collect()) == want
-    assert decontamination.drop_contaminated(odd, benchmark).columns == odd.columns
+        bad = {t for (_, t), x in zip([(r.doc_id, r.text) for r in table.collect()], contaminated([(r.doc_id, r.text) for r in table.collect()], items), strict=True) if x[-1]}
+        left = decontamination.drop_contaminated(table.withColumn("clean", F.lit(1)).withColumn("__bad_id", F.lit(2)), benchmark, block_bytes=block)
+        assert left.columns == [*table.columns, "clean", "__bad_id"]
+        assert sorted(map(repr, left.drop("clean", "__bad_id").collect())) == sorted(repr(r) for r in table.collect() if r.text not in bad)
 
 
 def test_contamination_empty(spark, odd, nothing):
@@ -201,3 +205,33 @@ def test_pipeline_keeps_the_text_of_copies(spark):
     assert cut == {i: t.removesuffix("\nAll rights reserved") for i, t, _ in rows}
     left = {r.doc_id: r.text for r in corpus_pipeline.near_dedup(spark, corpus_pipeline.line_dedup(spark, docs, ""), "").collect()}
     assert set(left) == {*range(60), 100, 200, 300, *range(310, 330)} and left[100] == words("same") and left[200] and left[300] == words("few")
+
+
+def test_clashing_names(spark, odd):
+    """Columns named like the operators' own, and rows that share an id or have none."""
+    from cadenza.llm import boilerplate, toxicity
+
+    clash = odd.withColumns({c: F.lit(7) for c in ("__lines", "__host", "__drop", "__left", "__text", "__text__", "__gone", "row", "name", "kept", "text_", "t")})
+    rows = sorted(map(repr, clash.collect()))
+    assert sorted(map(repr, boilerplate.drop_boilerplate(clash, host=F.col("source"), text_col="text").collect())) == rows
+    left = near_duplicates.drop_near_duplicates(clash)
+    assert left.columns == clash.columns and left.count() == clash.count()
+    twice = spark.createDataFrame([(1, "a b c d e f g"), (5, "a b c d e f g"), (5, "other words under that same id"), (None, "a b c d e f g")], "doc_id long, text string")
+    assert sorted(map(repr, near_duplicates.drop_near_duplicates(twice).collect())) == sorted(repr(r) for r in twice.collect() if (r.doc_id, r.text[0]) != (5, "a"))
+    assert sorted(map(repr, toxicity.drop_toxic(clash, spark.createDataFrame([], "doc_id long, toxic int")).collect())) == rows
+    assert boilerplate.drop_boilerplate(clash, host=F.col("source"), text_col="text", count_col="n_words").columns == [*(c for c in clash.columns if c != "n_words"), "n_words"]
+
+
+def test_trees_recall():
+    """Pairs at the threshold share a child of some tree's root: the trees alone, without what follows."""
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    n, shared, own = 2000, 160, 20
+    both = rng.integers(0, 2**63, (n, shared), dtype=np.uint64)
+    sides = [np.concatenate((both, rng.integers(0, 2**63, (n, own), dtype=np.uint64)), axis=1) for _ in range(2)]
+    keys = [near_duplicates.root_keys(near_duplicates.minwise(s.ravel(), np.full(n, shared + own))) for s in sides]
+    mins = [near_duplicates.minwise(s.ravel(), np.full(n, shared + own)) & np.uint32(255) for s in sides]
+    together = (keys[0] == keys[1]).sum(axis=1)
+    assert (together > 0).mean() >= 0.999 and 0.75 < together.mean() / keys[0].shape[1] < 0.85
+    assert ((mins[0] == mins[1]).sum(axis=1) >= near_duplicates.AGREE).mean() >= 0.999

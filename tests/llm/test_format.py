@@ -103,7 +103,7 @@ def test_packing(spark, odd, docs, nothing):
     assert packing.pack(nothing).count() == 0
 
 
-def test_tokenizer_by_pre_tokens_equals_whole():
+def test_tokenizer_by_pre_tokens_equals_whole(monkeypatch):
     import public_tokenizers
 
     words = packing.WordTokenizer(public_tokenizers.path("word_bpe_49k.json"))
@@ -111,6 +111,8 @@ def test_tokenizer_by_pre_tokens_equals_whole():
     signs = [chr(c) for c in [*range(0x250), 0x1680, 0x2003, 0x2028, 0x3000, 0x200B, 0x301, 0x3A3, 0x4E00, 0x1F600]]
     texts = ["".join(rng.choice(signs) for _ in range(80)) for _ in range(300)] + [f"ab{c}Cd don't{c}'s 12{c}3" for c in signs]
     assert words.encode(texts) == [words._whole(t) for t in texts]
+    monkeypatch.setattr(packing, "SLICE_CHARS", 7)
+    assert words.encode([*texts, "", " \n"]) == [*(words._whole(t) for t in texts), b"", b""]
 
 
 @pytest.mark.parametrize("name", sorted(registry.ORACLES))
