@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from cadenza.llm.boilerplate import drop_boilerplate
 from cadenza.llm.decontamination import drop_contaminated
-from cadenza.llm.near_duplicates import drop_near_duplicates, near_duplicates
+from cadenza.llm.near_duplicates import drop_near_duplicates
 from cadenza.llm.packing import pack
 from cadenza.llm.shared import written
 from cadenza.llm.toxicity import drop_toxic
@@ -25,11 +25,11 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines on more than a share of a source's documents are cut out; every document stays.
 
-    Near-duplicates, as the next stage finds them, count as one document of a source, and so do equal texts without
-    words: what a group of copies shares is its text, not boilerplate.
+    Equal texts count as one document of a source, and a document that would lose over half of its text keeps all of it:
+    what a group of exact or near copies shares is its text, not boilerplate. The next stage keeps one of them.
     """
-    copies = near_duplicates(docs).where("n_shingles > 0 and doc_id is not null").groupBy("doc_id").agg(F.min("component_id").alias("copy"))
-    return drop_boilerplate(docs, host=F.col("source"), text_col="text", copies=written(copies, "copies")).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    cut = drop_boilerplate(docs, host=F.col("source"), text_col="text", distinct_texts=True, max_loss=0.5)
+    return cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
