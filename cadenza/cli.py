@@ -15,6 +15,8 @@ from cadenza.plans.config import PRESETS, Config, ResampleError, preset
 from cadenza.sources.audio import FORMATS, read_audio, write_audio
 
 ENDINGS = (".wav", ".flac")
+#: Alpha and beta of each taper where the command line gives none.
+TAPER_DEFAULTS = {"cosine": (3.4375, 1.0), "planck": (3.4375, 1.0), "beta": (10.0, 10.0), "bessel": (6.0, 1.0)}
 
 
 def parser() -> argparse.ArgumentParser:
@@ -59,7 +61,9 @@ def config_for(args: argparse.Namespace, rate: int, channels: int) -> Config:
     if args.bandwidth is not None:
         config = config.with_bandwidth(args.bandwidth)
     if args.taper or args.alpha is not None:
-        config = config.with_taper(Taper(args.taper or "cosine", 3.4375 if args.alpha is None else args.alpha, 1.0 if args.beta is None else args.beta))
+        kind = args.taper or "cosine"
+        alpha, beta = TAPER_DEFAULTS[kind]
+        config = config.with_taper(Taper(kind, alpha if args.alpha is None else args.alpha, beta if args.beta is None else args.beta))
     return config.validated()
 
 

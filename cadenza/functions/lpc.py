@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 
 #: Largest order of a predictor.
@@ -88,12 +90,11 @@ def extrapolate(x: np.ndarray, extra: int, hold: bool = True) -> np.ndarray:
     bound = HEADROOM * np.nanmax(np.abs(x)) if np.isfinite(x).any() or np.isinf(x).any() else 0.0
     with np.errstate(all="ignore"):
         for i in range(at, at + extra):
-            value = weights @ work[i - p : i]
-            if not np.isfinite(value):
-                value = 0.0
-            if abs(value) > bound:
+            value = float(weights.dot(work[i - p : i]))
+            if -bound <= value <= bound:
+                work[i] = value
+            elif math.isfinite(value):
                 break
-            work[i] = value
     return work[at:]
 
 

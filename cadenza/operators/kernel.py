@@ -146,6 +146,22 @@ class Stream:
         out = self._emit(frames)
         return out[: max(0, len(out) - (self.n_out - self.config.output_size(self.n_in)))]
 
+    def follow(self, head: np.ndarray) -> None:
+        """The head of the track that follows, from which the end's context is taken in place of a prediction."""
+        from cadenza.plans.config import ResampleError
+
+        if self.finished:
+            raise ResampleError("AlreadyFinalized", "the stream has ended")
+        self.post = np.asarray(head, dtype=self.config.numpy_dtype)
+
+    def counters(self) -> dict[str, int | bool]:
+        """Where the stream stands: samples taken and given, whole chunks, samples held, and its two states."""
+        return {"n_in": self.n_in, "n_out": self.n_out, "chunks": self.chunks, "held": len(self.held), "primed": self.primed, "finished": self.finished}
+
+    def reset(self) -> None:
+        """Back to the start, with the same configuration and without context."""
+        self.__init__(self.config)
+
     def _start(self, first: np.ndarray) -> np.ndarray:
         g = self.config.geometry
         return np.concatenate((np.zeros(g.chunk_in - g.offset_in, dtype=first.dtype), start_context(first, self.pre, self.config)))

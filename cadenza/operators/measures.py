@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,3 +38,14 @@ def autocorrelation(long: DataFrame, depth: int, *, keys: list[str], index: str
     left = long.select(*keys, F.col(index).alias("i"), F.col(sample).alias("x"), F.explode(F.sequence(F.lit(0), F.lit(depth))).alias("lag")).withColumn("j", F.col("i") + F.col("lag"))
     right = long.select(*keys, F.col(index).alias("j"), F.col(sample).alias("y"))
     return left.join(right, [*keys, "j"]).groupBy(*keys, "lag").agg(F.sum(F.col("x") * F.col("y")).alias("r"))
+
+
+def channel_md5(samples: Column) -> Column:
+    """The MD5 of an array of samples as little-endian 32-bit floats: equal only if all samples are, bit for bit."""
+    from pyspark.sql.functions import pandas_udf
+
+    @pandas_udf("string")
+    def digest(rows: pd.Series) -> pd.Series:
+        return rows.map(lambda x: None if x is None else hashlib.md5(np.asarray(x, dtype="<f4").tobytes()).hexdigest())
+
+    return digest(samples)

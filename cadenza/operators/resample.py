@@ -8,7 +8,7 @@ sample: frames become independent rows, so one long track spreads over the clust
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cadenza.plans.config import Config, ResampleError
@@ -37,12 +37,16 @@ def _arrow_map(source: DataFrame, keep: list[str], work, out_type: str = "array<
     return source.mapInArrow(run, out)
 
 
-def resample(planar: DataFrame, config: Config, *, samples: str = "samples", pre: str | None = None, post: str | None = None) -> DataFrame:
+def resample(planar: DataFrame, config: Config, *, samples: str = "samples", pre: str | None = None, post: str | None = None, channels: str | None = None) -> DataFrame:
     """``planar`` with the array column ``samples`` resampled; ``pre`` and ``post`` name array columns of context, which go.
 
-    Null arrays stay null, empty ones empty. With equal rates and no phase the plan is the input itself.
+    Null arrays stay null, empty ones empty. With equal rates and no phase the plan is the input itself. If ``channels``
+    names a column, a row whose number there is not the configuration's ends the job with WrongChannelCount.
     """
     config.validated()
+    if channels:
+        wrong = F.raise_error(F.concat(F.lit("WrongChannelCount: a track has "), F.col(channels), F.lit(f" channels, the configuration {config.channels}")))
+        planar = planar.withColumn(channels, F.when(F.col(channels) == config.channels, F.col(channels)).otherwise(wrong.cast(planar.schema[channels].dataType)))
     context = [c for c in (pre, post) if c]
     if config.passthrough:
         return planar.drop(*context)
@@ -53,12 +57,26 @@ def resample(planar: DataFrame, config: Config, *, samples: str = "samples", pre
 
 
 def with_context(planar: DataFrame, config: Config, *, album: list[str], order: str, samples: str = "samples") -> DataFrame:
-    """Adds columns pre and post: the end of the previous track and the head of the next one of the album, cut before the window so that it carries chunks, not tracks."""
+    """Adds columns pre and post: the end of the previous track and the head of the next one of the album.
+
+    The window's rows hold a track's first and last chunk, not its samples; those meet again by album and order, which
+    must name a track (of several of one name, one gives the context).
+    """
     c = config.geometry.chunk_in
-    w = Window.partitionBy(*album).orderBy(order)
     n = F.least(F.lit(c), F.size(samples))
-    cut = planar.withColumn("__tail", F.when(n > 0, F.slice(samples, -n, n)).otherwise(F.col(samples))).withColumn("__head", F.slice(samples, 1, c))
-    return cut.withColumn("pre", F.lag("__tail").over(w)).withColumn("post", F.lead("__head").over(w)).drop("__tail", "__head")
+    ends = planar.select(*album, order, F.when(n > 0, F.slice(samples, -n, n)).otherwise(F.col(samples)).alias("__tail"), F.slice(samples, 1, c).alias("__head")).dropDuplicates([*album, order])
+    w = Window.partitionBy(*album).orderBy(order)
+    names = {k: f"__{k}" for k in (*album, order)}
+    context = ends.select(*[F.col(k).alias(v) for k, v in names.items()], F.lag("__tail").over(w).alias("pre"), F.lead("__head").over(w).alias("post"))
+    return planar.drop("pre", "post").join(context, _same(names), "left").drop(*names.values())
+
+
+def _same(names: dict[str, str]) -> Column:
+    """Equal in all columns, nulls included."""
+    out = F.lit(True)
+    for a, b in names.items():
+        out = out & F.col(a).eqNullSafe(F.col(b))
+    return out
 
 
 def resample_gapless(planar: DataFrame, config: Config, *, album: list[str], order: str, samples: str = "samples") -> DataFrame:
@@ -87,19 +105,40 @@ def chunked(long: DataFrame, config: Config, *, keys: list[str], index: str, sam
     return dealt.groupBy(*keys, "chunk_idx").agg(F.transform(F.array_sort(F.collect_list("s")), lambda s: s["x"]).alias("seg"))
 
 
+#: Tracks whose lengths are broadcast at most.
+BROADCAST_TRACKS = 500_000
+
+
+def with_sizes(long: DataFrame, keys: list[str]) -> DataFrame:
+    """``long`` (keys, i, x) with n, the samples of its track.
+
+    The lengths are a partial sum in each task and one row a track; they are broadcast if the tracks are counted to be
+    few. Beyond that the samples meet them in a join, where Spark splits a track of many samples.
+    """
+    names = {k: f"__{k}" for k in keys}
+    n = long.groupBy(*keys).agg((F.max("i") + 1).alias("n")).select(*[F.col(k).alias(v) for k, v in names.items()], "n")
+    few = n.limit(BROADCAST_TRACKS + 1).count() <= BROADCAST_TRACKS
+    return long.join(F.broadcast(n) if few else n.hint("merge"), _same(names)).drop(*names.values())
+
+
 def resample_long(long: DataFrame, config: Config, *, keys: list[str], index: str = "frame_idx", sample: str = "sample") -> DataFrame:
     """One row for each output sample: keys, index, sample. ``index`` must count from 0 without gaps in each track.
 
-    Chunks are transformed where they are; only a track's first and last chunks, with the one before, see a neighbour.
+    Samples are shuffled to chunks and halves to blocks, each by track and number, so that no task holds a track. Planning
+    counts the tracks. An empty table gives no rows; null samples count as not a number.
     """
     config.validated()
     if config.passthrough:
         return long.select(*keys, index, F.col(sample).cast("double").alias(sample))
     g, names = config.geometry, [*keys]
-    chunks = chunked(long, config, keys=keys, index=index, sample=sample)
-    w = Window.partitionBy(*keys).orderBy("chunk_idx")
-    ends = chunks.withColumn("before", F.lag("seg").over(w)).withColumn("last", F.lead("chunk_idx").over(w).isNull())
-    source = ends.select(*keys, "chunk_idx", "seg", F.when(F.col("last"), F.coalesce("before", F.array().cast("array<double>"))).alias("before"), "last")
+    c = g.chunk_in
+    sized = with_sizes(long.select(*keys, F.col(index).alias("i"), F.col(sample).cast("double").alias("x")), keys)
+    # The last chunk's prediction needs the chunk before it, whose samples go to both. A group never holds more than two chunks.
+    own, last = F.expr(f"i div {c}"), F.expr(f"(n - 1) div {c}")
+    dealt = sized.select(*keys, "n", F.explode(F.when(own + 1 == last, F.array(own, own + 1)).otherwise(F.array(own))).alias("chunk_idx"), F.struct("i", "x").alias("s"))
+    chunks = dealt.groupBy(*keys, "chunk_idx").agg(F.max("n").alias("n"), F.array_sort(F.collect_list("s")).alias("s"))
+    part = lambda keep: F.transform(F.filter("s", keep), lambda s: s["x"])
+    source = chunks.select(*keys, "chunk_idx", "n", part(lambda s: s["i"] >= F.col("chunk_idx") * c).alias("seg"), part(lambda s: s["i"] < F.col("chunk_idx") * c).alias("before"), (F.col("chunk_idx") == last).alias("last"))
 
     def frames(batches):
         import pyarrow as pa
@@ -129,16 +168,14 @@ def resample_long(long: DataFrame, config: Config, *, keys: list[str], index: st
             take = pa.array(np.repeat(at, 2))
             kept = [get(n).take(take) for n in names]
             number = np.repeat(block, 2) + np.tile([0, 1], len(rows))
-            total = [idx[i] * g.chunk_in + len(get("seg")[i]) if last[i] else None for i in range(batch.num_rows)]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(number, type=pa.int64()), halves, pa.array(total, type=pa.int64()).take(take)], names=[*names, "block", "y", "n"])
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(number, type=pa.int64()), halves, get("n").take(take)], names=[*names, "block", "y", "n"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.select(*keys).schema.fields)
     halves = source.mapInArrow(frames, f"{fields}, block long, y array<double>, n long")
     # Two halves meet in each block; adding them is a grouped sum with at most two rows a group.
     blocks = halves.where("block >= 0").groupBy(*keys, "block").agg(F.collect_list("y").alias("ys"), F.max("n").alias("n"))
     added = F.when(F.size("ys") > 1, F.zip_with(F.element_at("ys", 1), F.try_element_at("ys", F.lit(2)), lambda a, b: a + b)).otherwise(F.element_at("ys", 1))
-    total = F.max("n").over(Window.partitionBy(*keys))
-    long_out = blocks.select(*keys, "block", added.alias("y"), total.alias("n")).select(*keys, "block", "n", F.posexplode("y").alias("pos", sample))
+    long_out = blocks.select(*keys, "block", added.alias("y"), "n").select(*keys, "block", "n", F.posexplode("y").alias("pos", sample))
     place = F.col("block") * g.chunk_out + F.col("pos") - g.offset_out
     size = F.expr(f"(n * {config.output_rate} + {config.input_rate - 1}) div {config.input_rate}")
     return long_out.withColumn(index, place).where((F.col(index) >= 0) & (F.col(index) < size)).select(*keys, index, sample)

@@ -139,7 +139,11 @@ class Config:
     @property
     def passthrough(self) -> bool:
         """Equal rates and no phase rotation: the output is the input."""
-        return self.input_rate == self.output_rate and self.phase == 0.0
+        return self.input_rate == self.output_rate and not self.rotated
+
+    @property
+    def rotated(self) -> bool:
+        return self.phase != 0.0 and self.phase_intensity != 0.0
 
     @property
     def latency(self) -> int:
@@ -157,7 +161,7 @@ class Config:
 
     @cached_property
     def rotation(self) -> np.ndarray | None:
-        return None if self.phase == 0.0 else phase_rotation(self.geometry.cutoff_bins, single(self.phase), single(self.phase_intensity))
+        return None if not self.rotated else phase_rotation(self.geometry.cutoff_bins, single(self.phase), single(self.phase_intensity))
 
     @property
     def numpy_dtype(self) -> type:

@@ -354,10 +354,30 @@ def window_placement(spark, d):
     return vectors(spark, d).select("vec_id", F.concat(zeros, F.slice("samples", 1, UP.geometry.chunk_in), zeros).alias("win"))
 
 
-@query("startup_trim", f"SELECT user_id, frame_idx - 6 AS frame_idx, sample FROM ({EVENTS}) WHERE frame_idx >= 6")
+def streamed(spark: SparkSession, d: str) -> DataFrame:
+    """The event tracks pushed chunk by chunk through a stream: what it has given after each whole chunk, and whether it is primed."""
+    from cadenza.operators.kernel import Stream
+
+    tracks = events(spark, d).groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("frame_idx", "sample"))), lambda s: s["sample"]).alias("x"))
+
+    def work(x):
+        stream, out = Stream(UP), []
+        for k in range(len(x) // 8):
+            stream.push(x[8 * k : 8 * k + 8])
+            out.append({"emitted": stream.n_out, "primed": stream.primed})
+        return out
+
+    made = _arrow_map(tracks, ["user_id"], work, "array<struct<emitted:long,primed:boolean>>", "steps")
+    return made.select("user_id", F.posexplode("steps").alias("chunk_idx", "step")).select("user_id", F.col("chunk_idx").cast("long").alias("chunk_idx"), "step.*")
+
+
+_WHOLE = f"SELECT user_id, CAST(unnest(range(n // 8)) AS BIGINT) AS chunk_idx FROM (SELECT user_id, count(*) AS n FROM ({EVENTS}) GROUP BY user_id)"
+
+
+@query("startup_trim", f"SELECT user_id, chunk_idx, 12 * (chunk_idx + 1) - 6 AS emitted FROM ({_WHOLE})")
 def startup_trim(spark, d):
-    o = UP.geometry.offset_out
-    return events(spark, d).where(F.col("frame_idx") >= o).select("user_id", (F.col("frame_idx") - o).alias("frame_idx"), "sample")
+    """A stream holds back the half block before its first sample."""
+    return streamed(spark, d).select("user_id", "chunk_idx", "emitted")
 
 
 @query("output_budget", f"WITH n AS (SELECT user_id, count(*) AS n FROM ({EVENTS}) GROUP BY user_id) SELECT user_id, n, (n * 3 + 1) // 2 AS total, n // 8 AS chunks FROM n")
@@ -643,10 +663,26 @@ def extrapolate_backward(spark, d):
     return _fit(spark, d, lambda x: lpc.extrapolate_back(x, 6))
 
 
-@query("hold_fallback", "SELECT vec_id, CAST(k AS BIGINT) AS k, 0.0 + 0.0::DOUBLE AS value FROM embeddings, range(4) t(k)")
+@query("hold_fallback", "SELECT vec_id, CAST(k AS BIGINT) AS k, " + sql_round("CAST(embedding[8] AS DOUBLE)") + " AS value FROM embeddings, range(4) t(k)")
 def hold_fallback(spark, d):
-    """A silent seed has no fit; its last sample is held."""
-    return _fit(spark, d, lambda x: lpc.extrapolate(x * 0.0, 4))
+    """A single sample has no fit; it is held."""
+    return _fit(spark, d, lambda x: lpc.extrapolate(x[-1:], 4))
+
+
+@query("resample_sql")
+def resample_function(spark, d):
+    """The resampler as a table function of SQL."""
+    from cadenza.functions.sql import register
+
+    register(spark, "resample")
+    vectors(spark, d).createOrReplaceTempView("resample_sql_vectors")
+    return spark.sql("SELECT vec_id, r.pos, r.sample FROM resample_sql_vectors, LATERAL resample(samples, 2, 3, 'fast') r").withColumn("sample", rounded("sample"))
+
+
+@query("channel_md5")
+def channel_md5(spark, d):
+    """Each resampled vector's MD5 as 32-bit floats."""
+    return resample(vectors(spark, d), UP).select("vec_id", measures.channel_md5(F.col("samples")).alias("md5"))
 
 
 # --- Spans and streams ----------------------------------------------------------------------------------------------
@@ -680,10 +716,10 @@ def samples_left(spark, d):
     return lengths.withColumn("is_last", last).select("user_id", "span_id", spans.samples_left(F.col("n_frames"), F.lit(1), ~F.col("is_last"), F.col("is_last")).alias("remaining"))
 
 
-@query("priming", f"SELECT user_id, frame_idx // 8 AS chunk_idx, frame_idx // 8 < 1 AS is_underrun FROM ({EVENTS}) GROUP BY ALL")
+@query("priming", f"SELECT user_id, chunk_idx, chunk_idx < 1 AS is_underrun FROM ({_WHOLE})")
 def priming(spark, d):
-    """Output stays silent until two chunks are in; a column says so, as a negative zero would not survive."""
-    return chunking(spark, d).select("user_id", "chunk_idx", (F.col("chunk_idx") + 1 < 2).alias("is_underrun"))
+    """Until two chunks are in, a stream says that its output may run dry."""
+    return streamed(spark, d).select("user_id", "chunk_idx", (~F.col("primed")).alias("is_underrun"))
 
 
 @query("span_concat", f"{_SPANS} SELECT user_id, list(event_id ORDER BY span_id, ts, event_id) AS played FROM s GROUP BY user_id")

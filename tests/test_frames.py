@@ -155,3 +155,88 @@ def test_queries_return_every_sample(spark, tmp_path):
         at = np.arange(len(whole))
         inside = (at < 90) | (at >= len(whole) - 90) | ((at % 96 >= 6) & (at % 96 < 90))
         assert np.allclose(joined[inside], whole[inside])
+
+
+def test_long_form_uses_many_tasks(spark):
+    """One long track: no stage puts its samples in one task, and no window goes over it."""
+    n = 200_000
+    long = spark.range(n).select(F.lit(1).alias("track"), F.col("id").alias("frame_idx"), F.sin(F.col("id") * 0.01).alias("sample"))
+    out = resample_long(long, UP, keys=["track"])
+    assert "Window" not in out._jdf.queryExecution().executedPlan().toString()
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        assert out.groupBy(F.spark_partition_id()).count().count() > 1 and out.count() == UP.output_size(n)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_sizes_of_many_tracks(spark, signals, monkeypatch):
+    """Lengths too many to broadcast give the same samples, and a null key is a track."""
+    from cadenza.operators import resample as module
+
+    rows = [(k if k else None, i, x) for k, v in ((0, signals[40 // 8 + 1]), (7, signals[7])) for i, x in enumerate(v)]
+    long = spark.createDataFrame(rows, "track int, frame_idx long, sample double")
+    want = sorted((r.track or 0, r.frame_idx, round(r.sample, 9)) for r in resample_long(long, UP, keys=["track"]).collect())
+    monkeypatch.setattr(module, "BROADCAST_TRACKS", 0)
+    assert sorted((r.track or 0, r.frame_idx, round(r.sample, 9)) for r in resample_long(long, UP, keys=["track"]).collect()) == want
+    assert {t for t, _, _ in want} == {0, 7}
+
+
+def test_channel_count(spark, signals):
+    from pyspark.errors import PySparkException
+
+    df = planar(spark, signals).withColumn("channels", F.lit(5))
+    assert resample(df, UP.with_channels(5), channels="channels").count() == df.count()
+    with pytest.raises(PySparkException, match="WrongChannelCount"):
+        resample(df, UP.with_channels(2), channels="channels").collect()
+
+
+def test_no_intensity_is_no_phase(spark, signals):
+    config = UP.with_rates(4, 4).with_phase(0.5, 0.0)
+    assert config.passthrough and config.latency == 0
+    assert UP.with_phase(0.5, 0.0).rotation is None
+
+
+def test_live_handoff(spark):
+    """A stream that is told what follows ends as the offline form with that context."""
+    rng = np.random.default_rng(3)
+    a, b = rng.normal(size=45), rng.normal(size=33)
+    from cadenza.operators.kernel import Stream
+
+    stream = Stream(UP)
+    got = [stream.push(a[:20]), stream.push(a[20:])]
+    assert stream.counters()["held"] == 45 % 8 and stream.counters()["primed"]
+    stream.follow(b)
+    got.append(stream.finish())
+    assert np.allclose(np.concatenate(got), resample_signal(a, UP, None, b))
+    stream.reset()
+    assert stream.counters()["n_in"] == 0 and not stream.primed
+
+
+def test_table_function_and_md5(spark, signals):
+    from cadenza.functions.sql import register
+    from cadenza.operators.measures import channel_md5
+    from cadenza.plans.config import preset
+
+    register(spark)
+    planar(spark, signals).createOrReplaceTempView("tracks")
+    rows = spark.sql("SELECT track, r.* FROM tracks, LATERAL resample(samples, 2, 3, 'fast') r").collect()
+    config = preset("fast").with_rates(2, 3).with_channels(1)
+    for k, v in signals.items():
+        got = [x for _, x in sorted((r.pos, r.sample) for r in rows if r.track == k)]
+        assert np.allclose(got, resample_signal(np.array(v), config))
+    import hashlib
+
+    for r in planar(spark, signals).select("samples", channel_md5(F.col("samples")).alias("md5")).collect():
+        assert r.md5 == (None if r.samples is None else hashlib.md5(np.array(r.samples, dtype="<f4").tobytes()).hexdigest())
+
+
+def test_taper_defaults():
+    from cadenza.cli import config_for, parser
+
+    want = {"cosine": (3.4375, 1.0), "beta": (10.0, 10.0), "bessel": (6.0, 1.0)}
+    for kind, (alpha, beta) in want.items():
+        t = config_for(parser().parse_args(["-i", "a.wav", "-o", "b.wav", "-r", "48000", "--taper", kind]), 44100, 1).taper
+        assert (t.kind, t.alpha, t.beta) == (kind, alpha, beta)
+    t = config_for(parser().parse_args(["-i", "a.wav", "-o", "b.wav", "-r", "48000", "--taper", "beta", "--beta", "3"]), 44100, 1).taper
+    assert (t.alpha, t.beta) == (10.0, 3.0)
