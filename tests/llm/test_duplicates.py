@@ -235,3 +235,27 @@ def test_trees_recall():
     together = (keys[0] == keys[1]).sum(axis=1)
     assert (together > 0).mean() >= 0.999 and 0.75 < together.mean() / keys[0].shape[1] < 0.85
     assert ((mins[0] == mins[1]).sum(axis=1) >= near_duplicates.AGREE).mean() >= 0.999
+
+
+def test_merged_transforms():
+    """Repeated strings and common prefixes from merged shards, against brute force."""
+    from cadenza.llm import bwt
+
+    rng, width = random.Random(4), 9
+    common = bytes(rng.choice(b"ab") for _ in range(40))
+    texts = [bytes(rng.choice(b"ab") for _ in range(rng.randrange(25))) + common[rng.randrange(15) : 40 - rng.randrange(15)] for _ in range(24)] + [b"", b"aaaaaaaaaaaaaaaa", common]
+    whole = b"".join(t + b"\0" for t in texts)
+    shards, base = [], 0
+    for k in range(0, 27, 9):
+        shards.append(bwt.build(texts[k : k + 9], base))
+        base += sum(len(t) + 1 for t in texts[k : k + 9])
+    first, _ = bwt.merge(shards[0], shards[1], width)
+    merged, lcp = bwt.merge(first, shards[2], width)
+    seen = Counter(whole[i : i + width] for i in range(len(whole)))
+    want = [i for i in range(len(whole)) if b"\0" not in whole[i : i + width] and len(whole[i : i + width]) == width and seen[whole[i : i + width]] > 1]
+    assert bwt.repeated(merged).tolist() == want and len(want) > 50
+    at = merged.place.tolist()
+    assert sorted(at) == list(range(len(whole)))
+    for i in range(len(texts) + 1, len(at)):
+        x, y = whole[at[i - 1] : at[i - 1] + width].split(b"\0")[0], whole[at[i] : at[i] + width].split(b"\0")[0]
+        assert x[: lcp[i]] == y[: lcp[i]] and (lcp[i] == width or x[: lcp[i] + 1] != y[: lcp[i] + 1] or len(x) == lcp[i] or len(y) == lcp[i])
