@@ -50,7 +50,8 @@ def _line_keys() -> Column:
 
 def boilerplate(pages: DataFrame, max_ratio: float, min_pages: int) -> DataFrame:
     """``pages`` has columns __host and __keys (names of lines). Returns one row for each host that has boilerplate: __host, __drop (names of its lines)."""
-    counted = pages.select("__host", F.explode("__keys").alias("k")).groupBy("__host", "k").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
+    # The outer form, as for the other Spark adds a filter that works out all lines a second time.
+    counted = pages.select("__host", F.explode_outer("__keys").alias("k")).where("k is not null").groupBy("__host", "k").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
     totals = pages.groupBy("__host").agg(F.count("*").alias("total"))
     return counted.join(totals, "__host").where(F.col("n") > max_ratio * F.col("total")).groupBy("__host").agg(F.collect_list("k").alias("__drop"))
 
