@@ -3,9 +3,11 @@
 A word is known by itself and by its first letters, which also reach inflected and compound forms. Each such form's
 score is its log-odds of toxic against other texts under an informative Dirichlet prior, counted once for each distinct
 text so that copies and repetition inside a text prove nothing. A word has the score of its strongest significant
-form; words without one cost a small constant. One linear scan finds all maximal segments; each segment's score is set
+form; words without one cost a small constant. What is significant is told by the exponential bound of the binomial
+tail, so that evidence grows with the labels. One linear scan finds all maximal segments; each segment's score is set
 against the extreme-value law of the largest segment that a harmless text of that length would have, and the excesses
-are summed and turned into a probability by a logistic curve.
+are summed and turned into a probability by a logistic curve. The curve is fitted on scores of texts that took no part
+in learning the words that score them.
 """
 
 from __future__ import annotations
@@ -26,8 +28,10 @@ FOLDS = 5
 MAX_LABELLED = 20_000
 #: The Dirichlet prior is worth the square root of so many times the number of learning texts.
 PRIOR_FACTOR = 2.0
-#: A form counts as significant from so many standard deviations and so high a score.
-MIN_Z, MIN_SCORE = 5.0, 2.0
+#: A form counts as significant if so few forms are expected to reach its share of toxic texts by chance, and from so high a score.
+FALSE_FORMS, MIN_SCORE = 0.1, 2.0
+#: Parts of the sample for the logistic curve: each is scored by the words of the others.
+PARTS = 2
 #: Bytes of the beginnings that count as forms, besides the whole word.
 PREFIXES = (3, 4, 5)
 #: What any other word costs.
@@ -156,8 +160,11 @@ def _learn_words(sample: DataFrame) -> Model:
     prior = worth * (t + o) / (n_t + n_o)
     odds = lambda y, n: np.log((y + prior) / (n + worth - y - prior + 0.5))
     delta = odds(t, n_t) - odds(o, n_o)
-    z = delta / np.sqrt(1 / (t + prior) + 1 / (o + prior))
-    use = (np.abs(z) >= MIN_Z) & (np.abs(delta) >= MIN_SCORE)
+    # The chance of a share as far from that of all texts is at most exp(-divergence).
+    share = n_t / (n_t + n_o)
+    part = lambda y, p: y * np.log(np.maximum(y, 1) / ((t + o) * p))
+    divergence = part(t, share) + part(o, 1 - share)
+    use = (divergence >= math.log(max(len(t), 1) / FALSE_FORMS)) & (np.abs(delta) >= MIN_SCORE)
     hashes = table["h"].to_numpy(dtype=np.int64).view(U)[use]
     order = np.argsort(hashes)
     return Model(hashes[order], np.clip(delta[use][order], -MAX_SCORE, MAX_SCORE))
@@ -197,26 +204,40 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 
 def learn(documents: DataFrame, labels: DataFrame, *, folds: int = FOLDS, max_labelled: int = MAX_LABELLED) -> Model:
-    """A model from at most ``max_labelled`` labelled documents whose fold isn't 0."""
+    """A model from at most ``max_labelled`` labelled documents whose fold isn't 0.
+
+    Rows without a label, and labels or rows with a null id, teach nothing. Equal texts are one; one that is labelled both
+    ways is toxic. Without toxic texts, without others, or without a significant word the model scores about 0.
+    """
     marked = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where(fold_of("doc_id", folds) != 0)
     sample = documents.select("doc_id", "text").join(bounded_ids(marked, max_labelled), "doc_id").groupBy("text").agg((F.max("toxic") == 1).alias("toxic"))
-    sample = written(sample, "sample")  # read three times
-    model = _learn_words(sample)
+    sample = written(sample, "sample")  # read several times
+    model = _learn_passages(sample, sample.limit(0))[0]
     if not len(model.hashes):
         return model
+    part = F.pmod(F.xxhash64("text"), F.lit(PARTS))
+    fitted = [_learn_passages(sample.where(part != i), sample.where(part == i)) for i in range(PARTS)]
+    model.slope, model.bias = _logistic(np.concatenate([x for _, x, _ in fitted]), np.concatenate([y for _, _, y in fitted]))
+    return model
+
+
+def _learn_passages(sample: DataFrame, others: DataFrame) -> tuple[Model, np.ndarray, np.ndarray]:
+    """Words and extreme-value law of ``sample``, and the evidence and label of each of ``others``."""
+    model = _learn_words(sample)
 
     def peaks(texts: Texts, _rows) -> list:
         counts, found, marked = segments_of(texts, model)
         return [counts, [[s for s, _, _ in x] for x in found], marked]
 
-    seen = map_texts(sample, ["toxic"], "n long, scores array<double>, marked array<double>", peaks).toPandas()
-    harmless = seen[~seen["toxic"]]
-    model.rate = _fit_rate(model, list(harmless["marked"]), int(harmless["n"].sum()))
-    excess = [model.rate * max([*s, 0.0]) - math.log(max(n, 1)) for n, s in zip(harmless["n"], harmless["scores"], strict=True)]
-    model.log_k = float(np.mean(excess)) - 0.5772156649 if excess else 0.0
+    made = "n long, scores array<double>, marked array<double>"
+    if len(model.hashes):
+        harmless = map_texts(sample.where("not toxic"), [], made, peaks).toPandas()
+        model.rate = _fit_rate(model, list(harmless["marked"]), int(harmless["n"].sum()))
+        excess = [model.rate * max([*s, 0.0]) - math.log(max(n, 1)) for n, s in zip(harmless["n"], harmless["scores"], strict=True)]
+        model.log_k = float(np.mean(excess)) - 0.5772156649
+    seen = map_texts(others, ["toxic"], made, peaks).toPandas()
     x = np.array([evidence(n, list(s), model) for n, s in zip(seen["n"], seen["scores"], strict=True)])
-    model.slope, model.bias = _logistic(x, seen["toxic"].to_numpy(dtype=float))
-    return model
+    return model, x, seen["toxic"].to_numpy(dtype=float)
 
 
 def score(documents: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:
