@@ -1,15 +1,18 @@
 """Quality rules whose cutoffs carry a guarantee: at most a stated share of good documents is rejected in each stratum.
 
-The features of a text are counted exactly. For each rule and stratum the cutoffs are tried from lenient to strict on
-labelled documents that play no other part; each trial is an exact binomial test of "this cutoff rejects more than
-alpha of the good documents". Fixed-sequence testing spends no error within a rule, and a Bonferroni correction over
-all rules and strata keeps the chance of any broken promise at ``delta``. Where the labels can't prove a cutoff, the
-rule stays off for that stratum.
+The features of a text are counted exactly. One ladder of settings of all rules leads from lenient to strict; documents
+labelled bad alone order its steps, those that catch most of them first. Each stratum climbs it on its documents
+labelled good, which play no other part: each step is an exact binomial test of "the rules of this step together reject
+more than alpha of the good documents", and the first that can't be proven ends the climb. Fixed-sequence testing spends
+no error within a stratum, and a Bonferroni correction over the strata keeps the chance of any broken promise at
+``delta``. Where the labels can't prove the first step, the rules stay off for that stratum.
 """
 
 from __future__ import annotations
 
 import math
+from functools import reduce
+from operator import or_
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -122,17 +125,57 @@ def features(documents: DataFrame, stratum_col: str) -> DataFrame:
     return map_texts(rows, ["doc_id", "stratum"], FEATURES, count_features)
 
 
+def ladder(first: np.ndarray, n: np.ndarray, rules=RULES) -> list[tuple[int, ...]]:
+    """Settings from lenient to strict: for each rule the place of its cutoff, -1 while it is off.
+
+    ``first`` has a row for each kind of bad document, with the place of the first cutoff of each rule that it is over
+    (or their number), and ``n`` says how many there are. A step moves one rule to the cutoff that catches most further
+    bad documents for each place moved (ties: the earlier rule, then the more lenient cutoff). Steps that catch none are
+    left out. With no bad documents the rules take turns, a cutoff at a time.
+    """
+    sizes = [len(cutoffs) for cutoffs in rules.values()]
+    at, steps, left = [-1] * len(sizes), [], np.ones(len(n), dtype=bool)
+
+    def move(r: int, i: int) -> None:
+        at[r] = i
+        steps.append(tuple(at))
+
+    if not len(n):
+        for i in range(max(sizes)):
+            for r, size in enumerate(sizes):
+                if i < size:
+                    move(r, i)
+        return steps
+    while moves := [(r, i) for r, size in enumerate(sizes) for i in range(at[r] + 1, size)]:
+        gain = [n[left & (first[:, r] <= i)].sum() / (i - at[r]) for r, i in moves]
+        if not max(gain):
+            break
+        r, i = moves[int(np.argmax(gain))]
+        left &= first[:, r] > i
+        move(r, i)
+    return steps
+
+
 def learn_cutoffs(counted: DataFrame, labels: DataFrame, **options) -> dict[str, dict[str, float]]:
-    """Cutoffs from all good labelled documents (quality 1) of ``counted``, a table of :func:`features`.
+    """Cutoffs from all labelled documents of ``counted``, a table of :func:`features`: rule -> stratum -> cutoff.
 
-    Good documents that fail the base rules say nothing of the cutoffs and are left out. Only the counts of each
-    stratum are collected.
+    Documents of quality 0 order the ladder, those of quality 1 test its steps. Documents that fail the base rules say
+    nothing of the cutoffs and are left out. Collected are the numbers of bad documents by the cutoffs they are over (617,463
+    combinations at most, whatever the number of labels) and the counts of each stratum.
     """
-    good = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("q")).where("q = 1").select("doc_id")
+    of = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg((F.min("quality") == 1).alias("good"), (F.max("quality") == 0).alias("bad"))
+    seen = counted.where(~base_failed()).join(merged_with(of), "doc_id")
     values = rule_values()
-    over = {(rule, i): F.count_if(values[rule] > cutoff).alias(f"{rule}_{i}") for rule in RULES for i, cutoff in enumerate(RULES[rule])}
-    strata = counted.where(~base_failed()).join(merged_with(good), "doc_id").groupBy("stratum").agg(F.count("*").alias("n"), *over.values()).collect()
-    return certify_counts({(rule, row["stratum"]): (row["n"], [row[f"{rule}_{i}"] for i in range(len(RULES[rule]))]) for row in strata for rule in RULES}, **options)
+    first = [F.coalesce(*[F.when(values[rule] > cutoff, i) for i, cutoff in enumerate(cutoffs)], F.lit(len(cutoffs))).alias(rule) for rule, cutoffs in RULES.items()]
+    bad = seen.where("bad").select(*first).groupBy(*RULES).agg(F.count("*").alias("n")).toPandas()
+    steps = ladder(bad[list(RULES)].to_numpy(), bad["n"].to_numpy())
+    if not steps:
+        return {rule: {} for rule in RULES}
+    rejects = [reduce(or_, [values[rule] > RULES[rule][i] for rule, i in zip(RULES, step, strict=True) if i >= 0]) for step in steps]
+    strata = seen.where("good").groupBy("stratum").agg(F.count("*").alias("n"), *[F.count_if(x).alias(f"over_{i}") for i, x in enumerate(rejects)]).collect()
+    counts = {("step", row["stratum"]): (row["n"], [row[f"over_{i}"] for i in range(len(steps))]) for row in strata}
+    proven = certify_counts(counts, {"step": range(len(steps))}, **options)["step"]
+    return {rule: {stratum: RULES[rule][steps[k][r]] for stratum, k in proven.items() if steps[k][r] >= 0} for r, rule in enumerate(RULES)}
 
 
 def apply_rules(documents: DataFrame, cutoffs: dict[str, dict[str, float]], *, stratum_col: str = "lang") -> DataFrame:
