@@ -354,11 +354,15 @@ def window_placement(spark, d):
     return vectors(spark, d).select("vec_id", F.concat(zeros, F.slice("samples", 1, UP.geometry.chunk_in), zeros).alias("win"))
 
 
+def event_arrays(spark: SparkSession, d: str) -> DataFrame:
+    return events(spark, d).groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("frame_idx", "sample"))), lambda s: s["sample"]).alias("x"))
+
+
 def streamed(spark: SparkSession, d: str) -> DataFrame:
     """The event tracks pushed chunk by chunk through a stream: what it has given after each whole chunk, and whether it is primed."""
     from cadenza.operators.kernel import Stream
 
-    tracks = events(spark, d).groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("frame_idx", "sample"))), lambda s: s["sample"]).alias("x"))
+    tracks = event_arrays(spark, d)
 
     def work(x):
         stream, out = Stream(UP), []
@@ -441,12 +445,14 @@ def resample_planar(spark, d):
     return inner(out, vectors_long(spark, d), UP, ["vec_id"])
 
 
-@query("resample_f32", f"SELECT vec_id, out_idx, round(sample, 3) + 0.0 AS sample FROM ({resample_sql(UP, EMB, ['vec_id'], 'duckdb')}) WHERE false")
+@query("resample_f32", f"SELECT vec_id, count(*) * 3 // 2 AS samples, CAST(0 AS BIGINT) AS far FROM ({EMB}) GROUP BY vec_id")
 def resample_f32(spark, d):
-    """32-bit against 64-bit computation: the samples that differ by more than 1e-5, of which there must be none."""
+    """32-bit against 64-bit computation: the samples compared, and how many differ by more than 1e-5."""
     a = layout.to_long(resample(vectors(spark, d), UP.with_dtype("f32")), keys=["vec_id"])
     b = layout.to_long(resample(vectors(spark, d), UP), keys=["vec_id"]).withColumnRenamed("sample", "exact")
-    return a.join(b, ["vec_id", "frame_idx"]).where(F.abs(F.col("sample") - F.col("exact")) > 1e-5).select("vec_id", F.col("frame_idx").cast("long").alias("out_idx"), F.round("sample", 3).alias("sample"))
+    both = a.join(b, ["vec_id", "frame_idx"], "full")
+    near = F.coalesce(F.abs(F.col("sample") - F.col("exact")) <= 1e-5, F.lit(False))
+    return both.groupBy("vec_id").agg(F.count("*").alias("samples"), F.count_if(~near).alias("far"))
 
 
 _STEREO = f"SELECT l_suppkey, channel, frame_idx, CASE channel WHEN 0 THEN l_quantity ELSE l_extendedprice / 1000 END AS sample FROM ({ITEMS}), (SELECT unnest([0, 1]) AS channel)"
@@ -557,9 +563,27 @@ def samples_processed(spark, d):
     return both.groupBy("l_suppkey").agg(F.count("*").alias("samples"))
 
 
-@query("all_finalized", f"SELECT user_id, bool_and(sample > 1) AS finalized FROM ({EVENTS}) GROUP BY user_id")
+@query("all_finalized", f"SELECT user_id, user_id % 3 = 0 AS finalized, (CASE WHEN user_id % 3 = 0 THEN 2 WHEN user_id % 3 = 1 THEN 1 ELSE 0 END) AS refusals FROM ({EVENTS}) GROUP BY user_id")
 def all_finalized(spark, d):
-    return events(spark, d).groupBy("user_id").agg(F.bool_and(F.col("sample") > 1).alias("finalized"))
+    """Two channels, of which by user both, one or none are ended: whether all are, and how many refuse further samples."""
+    from cadenza.operators.kernel import Stream
+
+    def work(x, user):
+        ended, refusals = [], 0
+        for ends in (user % 3 < 2, user % 3 < 1):
+            stream = Stream(UP)
+            stream.push(x)
+            if ends:
+                stream.finish()
+            ended.append(stream.finished)
+            try:
+                stream.push(x[:1])
+            except ResampleError as e:
+                refusals += e.code == "AlreadyFinalized"
+        return {"finalized": all(ended), "refusals": refusals}
+
+    tracks = event_arrays(spark, d).withColumn("user", F.col("user_id"))
+    return _arrow_map(tracks, ["user_id"], work, "struct<finalized:boolean,refusals:int>", "state").select("user_id", "state.*")
 
 
 _HOLES = f"SELECT user_id, frame_idx, CASE WHEN frame_idx % 7 = 3 THEN CAST('nan' AS DOUBLE) WHEN frame_idx % 11 = 5 THEN CAST('infinity' AS DOUBLE) ELSE sample END AS sample FROM ({EVENTS})"
@@ -772,11 +796,19 @@ def _scratch(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-@query("stream_chunks", f"SELECT user_id, count(*) // 8 AS whole_chunks, count(*) % 8 AS held FROM ({EVENTS}) GROUP BY user_id")
+@query("stream_chunks", f"SELECT user_id, count(*) // 8 AS whole_chunks, count(*) % 8 AS held, count(*) AS n_in, count(*) // 8 * 12 - 6 AS n_out FROM ({EVENTS}) GROUP BY user_id")
 def stream_chunks(spark, d):
-    """Chunks that a stream has handed on, and samples it still holds."""
-    n = events(spark, d).groupBy("user_id").agg(F.count("*").alias("n"))
-    return n.select("user_id", F.expr("n div 8").alias("whole_chunks"), F.expr("n % 8").alias("held"))
+    """Chunks that a stream has handed on and samples it still holds, after pushes of 5 samples."""
+    from cadenza.operators.kernel import Stream
+
+    def work(x):
+        stream = Stream(UP)
+        for k in range(0, len(x), 5):
+            stream.push(x[k : k + 5])
+        state = stream.counters()
+        return {"whole_chunks": state["chunks"], "held": state["held"], "n_in": state["n_in"], "n_out": state["n_out"]}
+
+    return _arrow_map(event_arrays(spark, d), ["user_id"], work, "struct<whole_chunks:long,held:long,n_in:long,n_out:long>", "state").select("user_id", "state.*")
 
 
 @query("stream_resample", f"SELECT user_id, out_idx, sample FROM ({kernel_oracle(UP, EVENTS, ['user_id'])}) x WHERE out_idx + 6 < (SELECT count(*) // 8 FROM events e WHERE e.user_id = x.user_id) * 12")
