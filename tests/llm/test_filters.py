@@ -121,6 +121,11 @@ def test_language(spark, more_docs, odd, nothing):
     assert {r.lang_pred for r in language.identify(odd, language.learn(nothing)).collect()} == {"und"}
 
 
+def test_language_of_held_out_documents(spark, more_docs):
+    out = language.op2_language(spark, "/root/testdata/sf0.01").where("held_out").join(more_docs.where("lang is not null").select("doc_id", "lang"), "doc_id").toPandas()
+    assert len(out) > 150 and (out["lang"] == out["lang_pred"]).mean() > 0.97 and out["score"].between(0, 1).all()
+
+
 def test_language_mixture(spark, more_docs):
     model = language.learn(more_docs)
     best = {lang: more_docs.where((F.col("lang") == lang) & (F.length("text") > 2000)).orderBy("doc_id").first().text[:2000] for lang in ("en", "fr")}

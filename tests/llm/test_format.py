@@ -10,6 +10,7 @@ from collections import defaultdict
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from cadenza.llm import chat, packing, registry
 
@@ -134,3 +135,22 @@ def test_pipeline(spark):
         after = stage(spark, docs, D)
         assert after.columns == docs.columns and 0 < after.count() <= docs.count()
     assert corpus_pipeline.run(spark, D).count() > 0
+
+
+@pytest.mark.parametrize("empty", [False, True])
+def test_pipeline_stages_on_odd_tables(spark, odd, nothing, empty):
+    """Every stage takes nulls, odd texts, repeated rows, no rows, and further columns of names that are used inside."""
+    import corpus_pipeline
+
+    clashing = ("kept", "name", "t", "least", "n", "keys", "m", "s", "toxic", "host", "lines", "score", "item_id", "__lines", "__gone", "__bad_id", "__text__")
+    docs = (nothing if empty else odd).withColumns({c: F.lit(7) for c in clashing})
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, "/root/testdata/sf0.001")
+        rows = out.collect()
+        if name == "packing":
+            # Each row gives one piece at least.
+            assert len(rows) >= docs.count()
+        else:
+            assert out.columns == docs.columns and len(rows) == docs.count() and all(r.t == 7 for r in rows)
+        if empty:
+            assert not rows
