@@ -105,6 +105,22 @@ def whole_groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Ta
         yield pa.Table.from_batches(held)
 
 
+#: Bytes of rows that go to a Python worker at once: a few blocks of texts (``textkernels.BLOCK_BYTES``).
+BATCH_BYTES = 4 << 20
+_BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Bounds the bytes of an Arrow batch for the session's plans, unless it has a bound already.
+
+    Spark counts the rows of a batch alone, so its memory would follow the length of the texts: 10,000 rows of 2 KB are
+    20 MB, which both sides hold several times, and rows of 100 KB are 1 GB. A longer row is a batch of its own. Plans
+    read the setting when they run, so it stays set.
+    """
+    if int(spark.conf.get(_BATCH_CONF, None) or -1) <= 0:
+        spark.conf.set(_BATCH_CONF, BATCH_BYTES)
+
+
 def fold_of(doc_id: str | Column, folds: int) -> Column:
     """``crc32(doc_id as text) mod folds``: the fold a document belongs to."""
     return F.crc32(F.col(doc_id).cast("string") if isinstance(doc_id, str) else doc_id.cast("string")) % folds

@@ -154,3 +154,27 @@ def test_pipeline_stages_on_odd_tables(spark, odd, nothing, empty):
             assert out.columns == docs.columns and len(rows) == docs.count() and all(r.t == 7 for r in rows)
         if empty:
             assert not rows
+
+
+def test_pipeline_bounds_the_bytes_of_batches(spark, docs):
+    import corpus_pipeline
+    import pyarrow as pa
+
+    from cadenza.llm.shared import BATCH_BYTES
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    long = docs.limit(1).selectExpr("explode(sequence(1, 300)) AS i", "repeat('word ', 20000) AS text").coalesce(1)
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"rows": [b.num_rows], "bytes": [b.nbytes]})
+
+    for _, stage in corpus_pipeline.STAGES:
+        spark.conf.unset(key)
+        stage(spark, docs, D)
+        found = long.mapInArrow(sizes, "rows long, bytes long").collect()
+        assert sum(r["rows"] for r in found) == 300 and max(r["bytes"] for r in found) < BATCH_BYTES + 200_000
+    spark.conf.set(key, "1000000")
+    corpus_pipeline.line_dedup(spark, docs, D)
+    assert spark.conf.get(key) == "1000000"
+    spark.conf.unset(key)
